@@ -10,9 +10,11 @@ a document's set falls into one segment a fragment.
 2. Partial overlaps. Candidates are cut into a few fragments; each fragment counts its part of the overlap by itself,
    and the counts are summed per pair.
 3. Links make components. Documents with equal sets stand together from the start. Of each bucket of equal segments,
-   members are first held against the smallest one; only pairs that the links so found leave in different components
-   are compared after that. Pairs inside a component can't change the result, so a group of thousands of near copies
-   costs about its size and not its square, and no link between different components is lost.
+   members are first held against the hub, its smallest set. Two members that the hub is near to are joined through it.
+   For any other pair, what they have in common within the hub's set falls short of the threshold (no set is smaller
+   than the hub's, and one of them has too little in common with it), so they must share n-grams outside of it: the
+   members meet again on the first of these, as many as the missing overlap leaves. Thousands of near copies thus cost
+   about their number and not its square, and no link between different components is lost.
 
 Defined results: null or empty text has an empty set (n_shingles 0) and is linked with nothing; fewer words than n
 make one shingle of them all. Rows of one doc_id are one node. A row without doc_id takes no part (component_id
@@ -129,34 +131,31 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
             yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), lists], schema=_SETS)
 
 
-_BUCKETS = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+_PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, node): the buckets of two nodes or more, with the smallest as the hub."""
-    held = None  # signature and hub of a bucket that goes on
-    for batch, whole in grouped(batches, "sig"):
+    """Of rows sorted by (sig, n, node): each bucket's hub with every other node."""
+    hub = None  # of a bucket that goes on
+    for batch, begins, _ in grouped(batches, "sig"):
         sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
         at = runs(sig)
-        hub = node[at[:-1]].copy()
-        if held and held[0] == sig[0]:
-            hub[0] = held[1]
-        many = node[at[1:] - 1] != hub
-        each = np.diff(at)
-        keep = np.repeat(many, each)
-        keep[1:] &= (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        held = None if whole else (sig[-1], hub[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(np.repeat(hub, each)[keep]), pa.array(node[keep])], schema=_BUCKETS)
-
-
-_PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
+        hubs = node[at[:-1]].copy()
+        if not begins:
+            hubs[0] = hub
+        hub = hubs[-1]
+        hubs = np.repeat(hubs, np.diff(at))
+        keep = np.flatnonzero(hubs != node)
+        if len(keep):
+            pairs = pa.Table.from_arrays([pa.array(hubs[keep]), pa.array(node[keep])], schema=_PAIRS)
+            yield from pairs.group_by(["hub", "node"]).aggregate([]).select(["hub", "node"]).cast(_PAIRS).combine_chunks().to_batches()
 
 
 def _across(batches: Iterator[pa.RecordBatch], out: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (sig, comp): all pairs of nodes of one bucket that are in different components."""
-    for batch, whole in grouped(batches, "sig", 1 << 22):
-        if not whole:
-            raise ValueError("a bucket of over four million unlinked sets")
+    for batch, begins, ends in grouped(batches, "sig", 1 << 22):
+        if not (begins and ends):
+            raise ValueError("an n-gram outside of a hub that over four million members have")
         sig, comp, node = (batch[c].to_numpy() for c in ("sig", "comp", "node"))
         at = runs(sig)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
@@ -170,62 +169,77 @@ def _across(batches: Iterator[pa.RecordBatch], out: int = 1 << 17) -> Iterator[p
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, o)), pa.array(np.maximum(me, o))], schema=_PAIRS)
 
 
-_PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("grams", pa.binary())])
+_PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
     """Each document's set, cut into fragments, once for every hub and salt it goes to."""
     for batch in batches:
-        to = batch["dest"]
+        to, nodes, out, size = batch["dest"], batch["node"].to_numpy(), [], 0
         for w in words(batch["text"], lower):
-            row, value, n = shingles(w, k)
-            at, out = np.concatenate([[0], np.cumsum(n)]), []
+            _, value, n = shingles(w, k)
+            at = np.concatenate([[0], np.cumsum(n)])
             for i in range(len(n)):
                 grams = value[at[i] : at[i + 1]]
                 cuts = np.searchsorted((grams >> U(32)) * U(FRAGMENTS) >> U(32), np.arange(FRAGMENTS + 1))
-                node = batch["node"][w.rows.start + i].as_py()
+                parts = [grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                node = int(nodes[w.rows.start + i])
                 for d in to[w.rows.start + i].as_py():
-                    out += [(d["hub"], p, d["salt"], d["member"], node, grams[cuts[p] : cuts[p + 1]].tobytes()) for p in range(FRAGMENTS)]
-                if len(out) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
+                    out += [(d["hub"], p, d["salt"], d["member"], node, int(n[i]), parts[p]) for p in range(FRAGMENTS)]
+                    size += 8 * int(n[i])
+                    if size > 4 << 20:
+                        yield _batch(out, _PARTS)
+                        out, size = [], 0
+        if out:
+            yield _batch(out, _PARTS)
 
 
-_COUNTS = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("common", pa.int64()), ("n_hub", pa.int64()), ("n_node", pa.int64())])
+_COUNTS = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("common", pa.int64()), ("n_hub", pa.int64()), ("n_node", pa.int64()), ("beside", pa.list_(pa.int64()))])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps within one fragment: the hub's segment comes first, its members' follow."""
+def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int, beside: bool) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps within one fragment: the hub's segment comes first, its members' follow.
+
+    beside: also a member's first n-grams outside of the hub's set, as many as a pair through them can need.
+    """
     hub: tuple | None = None
-    grams = np.zeros(0, U)
+    grams, n_hub = np.zeros(0, U), 0
     for batch in batches:
         out = []
-        for h, p, s, m, node, g in zip(*(batch[c].to_pylist() for c in _PARTS.names), strict=True):
+        for h, p, s, m, node, n, g in zip(*(batch[c].to_pylist() for c in _PARTS.names), strict=True):
             g = np.frombuffer(g, U)
             if not m:
-                hub, grams = (h, p, s), g
+                hub, grams, n_hub = (h, p, s), g, n
             elif hub == (h, p, s):
-                common = int((grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g).sum()) if len(grams) and len(g) else 0
-                out.append((h, node, common, len(grams), len(g)))
+                both = grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g if len(grams) else np.zeros(len(g), bool)
+                rest = []
+                if beside:
+                    rest = g[~both][: max(0, n + 1 + (-num * (n_hub + n)) // (num + den))].view(np.int64)
+                out.append((h, node, p, int(both.sum()), n_hub, n, rest))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_COUNTS)
+            yield _batch(out, _COUNTS)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lower: bool) -> DataFrame:
-    """Of candidate pairs (hub, node), those at the threshold or over: partial overlaps by fragment, summed per pair."""
+def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lower: bool, beside: bool) -> DataFrame:
+    """Candidate pairs (hub, node) with their overlaps, summed over the fragments: common, n_hub, n_node, near."""
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     member = pairs.join(salts, "hub").select("node", "hub", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).cast("tinyint").alias("member"))
     hubs = salts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("tinyint").alias("member"))
-    dest = member.unionByName(hubs).groupBy("node").agg(F.collect_list(F.struct("hub", "salt", "member")).alias("dest"))
-    # Rows of one id are one node; its first text in a fixed order stands for it.
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(dest, "node")
-    parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, grams binary")
+    dest = member.unionByName(hubs).groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("hub", "salt", "member")).alias("dest"))
+    texts = docs.join(dest, docs["doc_id"] == dest["__node"]).select(F.col("doc_id").alias("node"), "text", "dest")
+    parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, grams binary")
     order = ("hub", "part", "salt", "member")
     parts = parts.repartition(*order[:3]).sortWithinPartitions(*order)
-    counts = parts.mapInArrow(_overlaps, "hub long, node long, common long, n_hub long, n_node long").groupBy("hub", "node").agg(*(F.sum(c).alias(c) for c in _COUNTS.names[2:]))
-    return counts.where(F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
+    each = parts.mapInArrow(partial(_overlaps, num=num, den=den, beside=beside), "hub long, node long, part int, common long, n_hub long, n_node long, beside array<long>")
+    listed = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "beside"))), lambda x: x["beside"])).alias("beside")] if beside else []
+    counts = each.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("n_hub").alias("n_hub"), F.max("n_node").alias("n_node"), *listed)
+    out = counts.withColumn("near", F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
+    most = F.greatest(F.lit(0), F.col("n_node") + 1 - F.ceil(num * (F.col("n_hub") + F.col("n_node")) / F.lit(num + den))).cast("int")
+    return out.withColumn("beside", F.slice("beside", F.lit(1), most)) if beside else out
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lower: bool = True) -> DataFrame:
@@ -239,26 +253,26 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     named = sets.where("n > 0 and doc_id is not null")
     keys = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = named.select("doc_id", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("doc_id", "rep")
-    same = member.where("doc_id <> rep").distinct()
+    same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    lists = named.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("node"))
-    buckets = table(lists.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, "sig long, hub long, node long"), "buckets")
+    lists = named.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
+    stars = lists.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInArrow(_buckets, "hub long, node long").distinct()
+    stars = table(stars, "stars")
+    held = table(compared(docs, stars, n, num, den, lower, True), "compared")
     edge = lambda x: x.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    stars = buckets.where("hub <> node").select("hub", "node").distinct()
-    first = table(verified(docs, stars, n, num, den, lower), "links")
-    known = edge(first).union(same.toDF("b", "a").select("a", "b"))
+    links = held.where("near").select("hub", "node")
+    known = edge(links).union(same)
     comp = table(components(known), "components")
 
-    placed = buckets.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    open_ = placed.join(mixed, "sig").repartition("sig").sortWithinPartitions("sig", "comp")
-    pairs = open_.mapInArrow(_across, "hub long, node long").distinct().join(stars, ["hub", "node"], "left_anti")
-    pairs = table(pairs, "pairs")
-    links = first
+    far = held.where("not near").select("hub").distinct()
+    beside = held.join(far, "hub").select("hub", "node", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "node")
+    placed = beside.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+    pairs = placed.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "hub long, node long").distinct()
+    pairs = table(pairs.join(stars, ["hub", "node"], "left_anti"), "pairs")
     if pairs.take(1):
-        more = table(verified(docs, pairs, n, num, den, lower), "links")
+        more = table(compared(docs, pairs, n, num, den, lower, False).where("near").select("hub", "node"), "links")
         if more.take(1):
-            links = first.unionByName(more)
+            links = links.unionByName(more)
             comp = table(components(known.union(edge(more))), "components")
 
     each = edge(links).union(edge(links).select("b", "a")).groupBy(F.col("a").alias("rep_node")).agg(F.count("*").alias("n_links"))

@@ -145,25 +145,36 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str, hold: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Sorted batches, cut again so that equal keys stay together: (rows, whole).
+def grouped(batches: Iterator[pa.RecordBatch], key: str, hold: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, bool, bool]]:
+    """Sorted batches, cut again so that equal keys stay together: (rows, begins, ends).
 
-    whole is false where a group of over `hold` rows goes on in the next batch, so memory stays bounded.
+    A group of over `hold` rows comes in parts of its own, so memory stays bounded. begins: the first row is the first
+    of its group; ends: no further row of the last group can come.
     """
     rest: pa.Table | None = None
+    gone_on = None  # key of a group of which a part is out
     for batch in batches:
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
-        if rest is not None:
-            now = pa.concat_tables([rest, now])
+        now = now if rest is None else pa.concat_tables([rest, now])
         keys = now[key].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left"))
-        if cut:
-            yield now.slice(0, cut).combine_chunks().to_batches()[0], True
+        last = keys[-1]
+        cut, lead = int(np.searchsorted(keys, last, "left")), 0
+        if gone_on is not None and last != gone_on:
+            lead = int(np.searchsorted(keys, gone_on, "right"))
+            gone_on = None
+            if lead:
+                yield _one(now.slice(0, lead)), False, True
+        if cut > lead:
+            yield _one(now.slice(lead, cut - lead)), True, True
         rest = now.slice(cut)
         if rest.num_rows > hold:
-            yield rest.combine_chunks().to_batches()[0], False
-            rest = None
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks().to_batches()[0], True
+            yield _one(rest), gone_on is None, False
+            rest, gone_on = None, last
+    if rest is not None:
+        yield _one(rest), gone_on is None, True
+
+
+def _one(rows: pa.Table) -> pa.RecordBatch:
+    return rows.combine_chunks().to_batches()[0]
