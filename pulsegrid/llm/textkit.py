@@ -28,6 +28,14 @@ def _table(lower: bool) -> np.ndarray:
     return out
 
 
+@cache
+def letters() -> np.ndarray:
+    """Bytes that part words where only letters count: all of ASCII but letters."""
+    out = np.ones(256, bool)
+    out[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+    return out
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -92,14 +100,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def words(column: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = False, chunk: int = CHUNK, space: np.ndarray = _SPACE) -> Iterator[Words]:
     """The words of a text column, some rows at a time: about chunk bytes, or one longer text."""
     data, offsets = raw(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, "right")) - 1)
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        solid = ~_SPACE[part]
+        solid = ~space[part]
         start, end = solid.copy(), solid.copy()
         start[1:] &= ~solid[:-1]
         end[:-1] &= ~solid[1:]
