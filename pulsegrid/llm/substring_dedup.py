@@ -79,6 +79,8 @@ def _taken(batch: pa.RecordBatch, names: tuple[str, ...], rows: np.ndarray) -> l
 
 def _joined(doc, th, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge neighbouring runs of windows: (row to keep, first, n). Rows are ordered by (doc, th, first)."""
+    if not len(first):
+        return (np.zeros(0, np.int64),) * 3
     new = np.ones(len(first), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (first[1:] > first[:-1] + n[:-1])
     head = np.flatnonzero(new)
