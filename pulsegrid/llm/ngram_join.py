@@ -5,16 +5,19 @@ a document's set falls into one segment a fragment.
 
 1. Candidates. For documents of a size class the order is cut into more fragments than a pair at the threshold can
    have differing n-grams, so such a pair has at least one whole segment in common: only equal segments meet. Sizes
-   form classes; a document is also cut by the next class if a partner there can be near enough. Where so many of a
+   form classes; a document is also cut by the next class if a partner there can be near enough. There are some more
+   fragments than needed, so a near pair shares several segments, and each document sets aside as many of its commonest
+   ones as leave one of them: a line that a third of all documents have brings no one together. Where so many of a
    document's segments are empty that the argument fails, its first n-grams in the order (the usual prefix) stand in.
 2. Partial overlaps. Candidates are cut into a few fragments; each fragment counts its part of the overlap by itself,
    and the counts are summed per pair.
 3. Links make components. Documents with equal sets stand together from the start. Of each bucket of equal segments,
-   members are first held against the hub, its smallest set. Two members that the hub is near to are joined through it.
-   For any other pair, what they have in common within the hub's set falls short of the threshold (no set is smaller
-   than the hub's, and one of them has too little in common with it), so they must share n-grams outside of it: the
-   members meet again on the first of these, as many as the missing overlap leaves. Thousands of near copies thus cost
-   about their number and not its square, and no link between different components is lost.
+   members are first held against the hub, the member that shares most segments with others over all its buckets (the
+   original of a group of copies, say). Pairs of members that the links so found leave in different components meet
+   again only if they can be near: within the hub's set they have no more in common than the one that has less in common
+   with the hub, so either that is enough for their sizes, or they share n-grams outside of the hub's set, and then they
+   meet on the first of these, as many as the missing overlap leaves. Thousands of near copies thus cost about their
+   number and not its square, and no link between different components is lost.
 
 Defined results: null or empty text has an empty set (n_shingles 0) and is linked with nothing; fewer words than n
 make one shingle of them all. Rows of one doc_id are one node. A row without doc_id takes no part (component_id
@@ -28,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import components, table
@@ -41,7 +44,7 @@ MEMBERS = 512
 #: A size class spans this many steps of 1 / threshold.
 STEPS = 2
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
 
 
 def size_classes(largest: int, num: int, den: int) -> np.ndarray:
@@ -64,21 +67,22 @@ def most_apart(hi: np.ndarray, num: int, den: int) -> np.ndarray:
     return (2 * hi * (den - num)) // (den + num)
 
 
-def signatures(row: np.ndarray, value: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature): rows whose sets are at the threshold or over share at least one signature.
+def signatures(row: np.ndarray, value: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, tag): rows whose sets are at the threshold or over share at least one signature.
 
-    row and value are sorted by both; n has the size of every row's set.
+    A tag is 2 * spare, and 1 more for cuts by the next class: of the signatures with its tag, a row may set aside
+    `spare`, the same way for all rows. row and value are sorted by both; n has the size of every row's set.
     """
     low = size_classes(int(n.max(initial=1)), num, den)
     own = np.searchsorted(low, n, "right") - 1
-    rows, sigs = [], []
+    rows, sigs, tags = [], [], []
     first = np.cumsum(n) - n
     for ahead in (0, 1):
         c = own + ahead
         c_hi = low[c + 1] - 1
         take = (n > 0) & (n * den >= num * low[c]) if ahead else n > 0
         apart = most_apart(c_hi, num, den)
-        cuts = np.maximum(1, apart + apart // 8 + np.where(apart > 0, 2, 1)).astype(np.int64)
+        cuts = np.maximum(1, apart + apart // 4 + np.where(apart > 0, 2, 1)).astype(np.int64)
         mine = take[row]
         r, v = row[mine], value[mine]
         if not len(r):
@@ -92,13 +96,16 @@ def signatures(row: np.ndarray, value: np.ndarray, n: np.ndarray, num: int, den:
         rows.append(of)
         sigs.append(mix(summed ^ mix(tag + U(0x1F3D5B79))))
         filled = np.bincount(of, minlength=len(n))
-        for i in np.flatnonzero(take & (filled <= apart)):  # too few segments are filled: prefix of the order
+        spare = np.maximum(filled - np.minimum(apart, n * (den - num) // num) - 1, 0)
+        tags.append(2 * spare[of] + ahead)
+        for i in np.flatnonzero(take & (filled <= np.minimum(apart, n * (den - num) // num))):  # too few segments are filled: prefix of the order
             k = int(min(n[i], most_apart(c_hi[i], num, den) + 1))
             rows.append(np.full(k, i))
+            tags.append(np.full(k, ahead))
             sigs.append(mix(value[first[i] : first[i] + k] ^ mix(np.full(k, c[i], U) + U(0x7A5C3E11))))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(rows), np.concatenate(sigs)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(tags)
 
 
 def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower: bool) -> Iterator[pa.RecordBatch]:
@@ -124,18 +131,39 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
                 seen.clear()
             mine = new[row]
             again = np.where(new, n, 0)
-            r, s = signatures(row[mine], value[mine], again, num, den)
+            r, s, tag = signatures(row[mine], value[mine], again, num, den)
             order = np.argsort(r, kind="stable")
             each = np.bincount(r, minlength=len(n))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), longs(s[order]))
-            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), lists], schema=_SETS)
+            at = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, longs(s[order])), pa.ListArray.from_arrays(at, pa.array(tag[order].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), *lists], schema=_SETS)
 
 
 _PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
 
 
+_MEMBERS = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int32()), ("others", pa.int64())])
+#: Others in a bucket that comes in parts.
+_VAST = 1 << 31
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, n, node): each bucket's hub with every other node."""
+    """Of rows sorted by (sig, node): the buckets of two nodes or more, and how many others each node meets there."""
+    for batch, begins, ends in grouped(batches, "sig"):
+        sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
+        one = runs(sig, node)[:-1]
+        at = runs(sig[one])
+        others = np.repeat(np.diff(at) - 1, np.diff(at))
+        if not (begins and ends):
+            others[:] = _VAST
+        keep = np.flatnonzero(others)
+        if len(keep):
+            rows = one[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(node[rows]), batch["n"].take(pa.array(rows)), batch["tag"].take(pa.array(rows)), pa.array(others[keep])], schema=_MEMBERS)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by sig with the hub first: the hub with every other node."""
     hub = None  # of a bucket that goes on
     for batch, begins, _ in grouped(batches, "sig"):
         sig, node = batch["sig"].to_numpy(), batch["node"].to_numpy()
@@ -218,7 +246,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int, beside: boo
                 both = grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g if len(grams) else np.zeros(len(g), bool)
                 rest = []
                 if beside:
-                    rest = g[~both][: max(0, n + 1 + (-num * (n_hub + n)) // (num + den))].view(np.int64)
+                    rest = g[~both][: n - -(-num * n // den) + 1].view(np.int64)
                 out.append((h, node, p, int(both.sum()), n_hub, n, rest))
         if out:
             yield _batch(out, _COUNTS)
@@ -238,7 +266,9 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     listed = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "beside"))), lambda x: x["beside"])).alias("beside")] if beside else []
     counts = each.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("n_hub").alias("n_hub"), F.max("n_node").alias("n_node"), *listed)
     out = counts.withColumn("near", F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
-    most = F.greatest(F.lit(0), F.col("n_node") + 1 - F.ceil(num * (F.col("n_hub") + F.col("n_node")) / F.lit(num + den))).cast("int")
+    # n-grams outside that a partner must share, at least: its size is num / den of this one or over.
+    least = F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common"))
+    most = F.greatest(F.lit(0), F.col("n_node") - F.col("common") - least + 1).cast("int")
     return out.withColumn("beside", F.slice("beside", F.lit(1), most)) if beside else out
 
 
@@ -249,15 +279,22 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     links), n_links (links found from its set to others; those that only join what is joined already aren't sought).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = table(docs.mapInArrow(partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
+    sets = table(docs.mapInArrow(partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, sigs array<long>, tags array<int>"), "sets")
     named = sets.where("n > 0 and doc_id is not null")
     keys = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = named.select("doc_id", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("doc_id", "rep")
     same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    lists = named.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
-    stars = lists.repartition("sig").sortWithinPartitions("sig", "n", "node").mapInArrow(_buckets, "hub long, node long").distinct()
-    stars = table(stars, "stars")
+    lists = named.where(F.size("sigs") > 0).select(F.explode(F.arrays_zip("sigs", "tags")).alias("s"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
+    lists = lists.select(F.col("s.sigs").alias("sig"), "node", "n", F.col("s.tags").alias("tag"))
+    shape = "sig long, node long, n int, tag int, others long"
+    buckets = table(lists.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, shape), "buckets")
+    # Of a node's signatures by one cut, as many of the commonest as it can spare don't count.
+    common = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("others"), "sig"))
+    met = F.sum("others").over(Window.partitionBy("node"))
+    kept = buckets.withColumn("rank", common).where(F.col("rank") > F.floor(F.col("tag") / 2)).withColumn("meets", met)
+    ranked = kept.select("sig", "node", "n", "meets").repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "n", "node")
+    stars = table(ranked.select("sig", "node").mapInArrow(_stars, "hub long, node long").distinct(), "stars")
     held = table(compared(docs, stars, n, num, den, lower, True), "compared")
     edge = lambda x: x.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = held.where("near").select("hub", "node")
@@ -265,10 +302,17 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     comp = table(components(known), "components")
 
     far = held.where("not near").select("hub").distinct()
-    beside = held.join(far, "hub").select("hub", "node", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "node")
-    placed = beside.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    pairs = placed.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "hub long, node long").distinct()
-    pairs = table(pairs.join(stars, ["hub", "node"], "left_anti"), "pairs")
+    placed = held.join(far, "hub").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    beside = placed.select("hub", "node", "comp", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "node", "comp")
+    pairs = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "hub long, node long")
+    # Enough in common within the hub's set: sizes up to `most`, met by size.
+    most = F.floor(F.col("common") * (num + den) / F.lit(num)) - F.col("n_node")
+    sized = placed.select("hub", "node", "comp", F.col("n_node").alias("size"), most.alias("most"))
+    asking = placed.where("not near").select("hub", F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_node").alias("x_size"), most.alias("x_most"))
+    asking = asking.withColumn("low", F.ceil(F.col("x_size") * num / F.lit(den))).where("x_most >= low").withColumn("size", F.explode(F.sequence("low", F.least(F.col("x_most"), F.floor(F.col("x_size") * den / F.lit(num))))))
+    inside = sized.join(asking, ["hub", "size"]).where("comp <> x_comp and most >= x_size").select(F.least("node", "x").alias("hub"), F.greatest("node", "x").alias("node"))
+    pairs = pairs.unionByName(inside).distinct()
+    pairs = table(pairs.join(stars, ["hub", "node"], "left_anti").join(stars.toDF("node", "hub"), ["hub", "node"], "left_anti"), "pairs")
     if pairs.take(1):
         more = table(compared(docs, pairs, n, num, den, lower, False).where("near").select("hub", "node"), "links")
         if more.take(1):
