@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import table
 from pulsegrid.llm.textkit import U, _table, letters, spans, words
 
 BUCKETS = 1 << 20
 CHOSEN = 192
 FOLDS = 4
+SAMPLE_PARTS = 8
 L2 = 0.5
 
 
@@ -165,9 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     order = F.xxhash64("__id")
     sample = known.orderBy(order, "__id").limit(rows)
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", *names)
+    # A table of the sample: documents are read once, and a few tasks count the features.
+    texts = table(texts.repartition(SAMPLE_PARTS), "sample").coalesce(SAMPLE_PARTS)
     count = len(categories)
     cols = [f"c{i}" for i in range(1 + 2 * count)]
     counted = texts.mapInArrow(partial(_count, categories=count), "feature long, " + ", ".join(f"{c} long" for c in cols)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in cols))
+    counted = table(counted.where("c0 >= 4"), "counts")
     totals = texts.agg(*(F.count(n).alias(f"n{i}") for i, n in enumerate(names)), *(F.coalesce(F.sum(n), F.lit(0)).alias(f"p{i}") for i, n in enumerate(names))).first()
     chosen: set[int] = set()
     for i in range(count):
