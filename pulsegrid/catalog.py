@@ -29,13 +29,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("seq"), F.col("user_id").alias("entity"))
 
 
-@query(
-    "tumbling_stats",
-    """SELECT event_type AS label, time_bucket(INTERVAL 1 HOUR, ts) AS win_start, round(avg(value), 6) AS mean_v,
-       round(stddev_pop(value), 6) AS stdev_v, min(value) AS min_v, max(value) AS max_v, max(ts) AS last_ts, count(*) AS n
-       FROM events GROUP BY 1, 2""",
-)
-def tumbling_stats(spark, sf_dir):
-    from pulsegrid.operators.aggregates import window_stats
-
-    return window_stats(signals(spark, sf_dir), "1 hour")
+def load() -> None:
+    """Import the modules that register queries."""
+    from pulsegrid.plans import clinical, learning, series, tables  # noqa: F401
+
+
+load()
