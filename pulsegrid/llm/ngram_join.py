@@ -16,7 +16,8 @@ a document's set falls into one segment a fragment.
    original of a group of copies, say). Pairs of members that the links so found leave in different components meet
    again only if they can be near: within the hub's set they have no more in common than the one that has less in common
    with the hub, so either that is enough for their sizes, or they share n-grams outside of the hub's set, and then they
-   meet on the first of these, as many as the missing overlap leaves. Thousands of near copies thus cost about their
+   meet on the first of these, as many as the missing overlap leaves; what they meet on must be enough for what is
+   missing. Thousands of near copies thus cost about their
    number and not its square, and no link between different components is lost.
 
 Defined results: null or empty text has an empty set (n_shingles 0) and is linked with nothing; fewer words than n
@@ -179,22 +180,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pairs.group_by(["hub", "node"]).aggregate([]).select(["hub", "node"]).cast(_PAIRS).combine_chunks().to_batches()
 
 
+_MET = pa.schema([("via", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+
+
 def _across(batches: Iterator[pa.RecordBatch], out: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, comp): all pairs of nodes of one bucket that are in different components."""
+    """Of rows sorted by (sig, comp): all pairs of nodes of one signature that are in different components."""
     for batch, begins, ends in grouped(batches, "sig", 1 << 22):
         if not (begins and ends):
             raise ValueError("an n-gram outside of a hub that over four million members have")
-        sig, comp, node = (batch[c].to_numpy() for c in ("sig", "comp", "node"))
+        sig, comp, node, via = (batch[c].to_numpy() for c in ("sig", "comp", "node", "hub"))
         at = runs(sig)
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
-            inner = runs(comp[lo:hi]) + lo
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if hi - lo < 2 or comp[lo] == comp[hi - 1]:
+                continue
+            inner = (runs(comp[lo:hi]) + lo).tolist()
             for a, b in zip(inner[:-1], inner[1:], strict=True):
                 others = node[b:hi]
                 for x in range(a, b) if len(others) else ():
                     for i in range(0, len(others), out):
                         o = others[i : i + out]
                         me = np.full(len(o), node[x])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, o)), pa.array(np.maximum(me, o))], schema=_PAIRS)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), via[lo])), pa.array(np.minimum(me, o)), pa.array(np.maximum(me, o))], schema=_MET)
 
 
 _PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
@@ -258,6 +264,8 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     member = pairs.join(salts, "hub").select("node", "hub", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).cast("tinyint").alias("member"))
     hubs = salts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("tinyint").alias("member"))
     dest = member.unionByName(hubs).groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("hub", "salt", "member")).alias("dest"))
+    # The first time many texts are asked for: they move by a sort-merge join, the same way at every size.
+    dest = dest.hint("merge") if beside else dest
     texts = docs.join(dest, docs["doc_id"] == dest["__node"]).select(F.col("doc_id").alias("node"), "text", "dest")
     parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, grams binary")
     order = ("hub", "part", "salt", "member")
@@ -267,8 +275,8 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     counts = each.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("n_hub").alias("n_hub"), F.max("n_node").alias("n_node"), *listed)
     out = counts.withColumn("near", F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
     # n-grams outside that a partner must share, at least: its size is num / den of this one or over.
-    least = F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common"))
-    most = F.greatest(F.lit(0), F.col("n_node") - F.col("common") - least + 1).cast("int")
+    out = out.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common")))
+    most = F.greatest(F.lit(0), F.col("n_node") - F.col("common") - F.col("least") + 1).cast("int")
     return out.withColumn("beside", F.slice("beside", F.lit(1), most)) if beside else out
 
 
@@ -303,8 +311,13 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
 
     far = held.where("not near").select("hub").distinct()
     placed = held.join(far, "hub").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    beside = placed.select("hub", "node", "comp", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "node", "comp")
-    pairs = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "hub long, node long")
+    beside = placed.select("hub", "node", "comp", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "hub", "node", "comp")
+    met = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "via long, hub long, node long")
+    met = met.groupBy("via", "hub", "node").agg(F.count("*").alias("met"))
+    of = lambda who, as_: placed.select(F.col("hub").alias("via"), F.col("node").alias(who), *(F.col(c).alias(f"{as_}_{c}") for c in ("common", "n_node", "least")))
+    met = met.join(of("hub", "a"), ["via", "hub"]).join(of("node", "b"), ["via", "node"])
+    need = F.ceil(num * (F.col("a_n_node") + F.col("b_n_node")) / F.lit(num + den)) - F.least("a_common", "b_common")
+    pairs = met.where(F.col("met") + F.greatest("a_least", "b_least") - 1 >= need).select("hub", "node")
     # Enough in common within the hub's set: sizes up to `most`, met by size.
     most = F.floor(F.col("common") * (num + den) / F.lit(num)) - F.col("n_node")
     sized = placed.select("hub", "node", "comp", F.col("n_node").alias("size"), most.alias("most"))
