@@ -11,7 +11,6 @@ Each stage's rows are written as Parquet to the shared folder and read again, so
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulsegrid.llm import mixing, ngram_join, pii, sentencepiece_codec, toxicity
 from pulsegrid.llm.queries import RATE, ROUNDS, SEED, TARGETS
@@ -19,8 +18,7 @@ from pulsegrid.llm.shared import documents, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    return toxicity.screened(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(~F.col("toxic")).select(*names)
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ hot source where it isn't.
 Defined results: null source, lang or text count as ''. A document without words has the topic 0 and weighs nothing; it
 is drawn with its cell's probability (cells that weigh nothing have the factor 1). A marginal value without a target has
 an even share; targets are rescaled to sum to 1 over the values that are there. Equal rows have equal fate, and so have
-rows of one doc_id in one cell. Columns of any other names stay as they are. An empty table gives no rows.
+rows of one doc_id in one cell. mix() replaces columns of the names it gives; sampled() leaves all as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import table
+from pulsegrid.llm.shared import beside, table
 
 #: Word length from which each topic class starts.
 TOPICS = (1, 4, 7)
@@ -81,6 +81,7 @@ def uniform(seed: int) -> Column:
 
 def mix(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]], rate: float = 0.5, rounds: int = 12, seed: int = 17) -> DataFrame:
     """docs with m_words, m_source, m_lang, m_topic, m_p (probability) and m_kept. docs is read twice."""
+    docs = docs.drop("m_p", "m_kept")
     found = celled(docs)
     cells = found.groupBy(*DIMS).agg(F.sum("m_words").alias("m_total"))
     fitted = rake(cells, targets, rounds)
@@ -94,4 +95,5 @@ def mix(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]], rate: fl
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
     """The documents that mix() keeps, with the columns of docs."""
-    return mix(docs, **how).where("m_kept").select(*docs.columns)
+    own = ("m_words", *DIMS, "m_p", "m_kept")
+    return beside(docs, ("doc_id", "text", "lang", "source"), own, lambda x: mix(x, **how).where("m_kept"))

@@ -92,8 +92,10 @@ _HAS_WORD = re.compile(rf"\b{_WORD}\b", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"[ ]*{_OPEN}[ ]*(?:at|@)[ ]*{_CLOSE}[ ]*", re.I)
 _DOT = re.compile(rf"[ ]*{_OPEN}[ ]*(?:dot|\.)[ ]*{_CLOSE}[ ]*", re.I)
+# Last labels that bare words may end in.
+_TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|br|in|jp|cn|ru|pl|se|no|dk|fi|me|tv|app|dev|ai|xyz|online|site)"
 # Bare words only as a whole: local at host dot name.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ ]+at[ ]+|@)[A-Za-z0-9-]++(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]++)*?(?:[ ]+dot[ ]+[A-Za-z0-9-]++)(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]++)*", re.I)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ ]+at[ ]+|@)[A-Za-z0-9-]++(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]++)*?[ ]+dot[ ]+(?:[A-Za-z0-9-]++(?:[ ]+dot[ ]+|\.))*?" + _TOP + r"(?![A-Za-z0-9-])", re.I)
 _BARE_PART = re.compile(r"(?P<at>[ ]+at[ ]+)|(?P<dot>[ ]+dot[ ]+)", re.I)
 
 

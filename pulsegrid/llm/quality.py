@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, rows: int
     known = known.groupBy("__id").agg(F.max("label").alias("label"))
     # The limit is the sample's documented bound; it also bounds what is broadcast.
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", "label")
     got = texts.mapInArrow(partial(_pool, vectors=vectors), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, WIDTH), np.float32)

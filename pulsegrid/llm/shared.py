@@ -54,6 +54,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def beside(docs: DataFrame, needed: tuple[str, ...], own: tuple[str, ...], keep) -> DataFrame:
+    """keep(docs), with the columns of docs as they were, also those that have the names in `own` that keep() gives.
+
+    keep() takes rows with the needed columns at least, and gives some of them with other columns added.
+    """
+    if not set(own) & set(docs.columns):
+        return keep(docs).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), *needed)
+    return keep(packed).select("__row.*")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node reachable.
 

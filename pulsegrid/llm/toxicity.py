@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import table
+from pulsegrid.llm.shared import beside, table
 from pulsegrid.llm.textkit import U, _table, letters, spans, words
 
 BUCKETS = 1 << 20
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     # The limit is the sample's documented bound; it also bounds what is broadcast.
     order = F.xxhash64("__id")
     sample = known.orderBy(order, "__id").limit(rows)
+    docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", *names)
     # A table of the sample: documents are read once, and a few tasks count the features.
     texts = table(texts.repartition(SAMPLE_PARTS), "sample").coalesce(SAMPLE_PARTS)
@@ -221,3 +222,9 @@ def screened(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, rows
     kinds = categories()
     chain = train(docs, labels, kinds, rows=rows)
     return score(docs.drop("toxic"), chain, list(kinds)).withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
+def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the chain doesn't reject, with the columns of docs."""
+    own = (*(f"p_{k}" for k in categories()), "toxic")
+    return beside(docs, ("doc_id", "text"), own, lambda x: screened(x, labels, **how).where(~F.col("toxic")))
