@@ -180,27 +180,30 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pairs.group_by(["hub", "node"]).aggregate([]).select(["hub", "node"]).cast(_PAIRS).combine_chunks().to_batches()
 
 
-_MET = pa.schema([("via", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+_MET = pa.schema([("via", pa.int64()), ("hub", pa.int64()), ("node", pa.int64()), ("asked", pa.int64())])
 
 
-def _across(batches: Iterator[pa.RecordBatch], out: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, comp): all pairs of nodes of one signature that are in different components."""
+def _across(batches: Iterator[pa.RecordBatch], num: int, den: int, out: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (sig, comp): all pairs of nodes of one signature that are in different components.
+
+    asked: on how many of their first n-grams outside of the hub's set the two must meet.
+    """
     for batch, begins, ends in grouped(batches, "sig", 1 << 22):
         if not (begins and ends):
             raise ValueError("an n-gram outside of a hub that over four million members have")
-        sig, comp, node, via = (batch[c].to_numpy() for c in ("sig", "comp", "node", "hub"))
+        sig, comp, node, via, n, common, least = (batch[c].to_numpy() for c in ("sig", "comp", "node", "hub", "n_node", "common", "least"))
         at = runs(sig)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if hi - lo < 2 or comp[lo] == comp[hi - 1]:
                 continue
             inner = (runs(comp[lo:hi]) + lo).tolist()
             for a, b in zip(inner[:-1], inner[1:], strict=True):
-                others = node[b:hi]
-                for x in range(a, b) if len(others) else ():
-                    for i in range(0, len(others), out):
-                        o = others[i : i + out]
-                        me = np.full(len(o), node[x])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), via[lo])), pa.array(np.minimum(me, o)), pa.array(np.maximum(me, o))], schema=_MET)
+                for x in range(a, b) if b < hi else ():
+                    for i in range(b, hi, out):
+                        o = slice(i, min(i + out, hi))
+                        need = -(-num * (n[x] + n[o]) // (num + den)) - np.minimum(common[x], common[o])
+                        asked = need - np.maximum(least[x], least[o]) + 1
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), via[lo])), pa.array(np.minimum(node[x], node[o])), pa.array(np.maximum(node[x], node[o])), pa.array(asked)], schema=_MET)
 
 
 _PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
@@ -274,10 +277,7 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     listed = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "beside"))), lambda x: x["beside"])).alias("beside")] if beside else []
     counts = each.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("n_hub").alias("n_hub"), F.max("n_node").alias("n_node"), *listed)
     out = counts.withColumn("near", F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
-    # n-grams outside that a partner must share, at least: its size is num / den of this one or over.
-    out = out.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common")))
-    most = F.greatest(F.lit(0), F.col("n_node") - F.col("common") - F.col("least") + 1).cast("int")
-    return out.withColumn("beside", F.slice("beside", F.lit(1), most)) if beside else out
+    return out
 
 
 def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lower: bool = True) -> DataFrame:
@@ -311,13 +311,13 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
 
     far = held.where("not near").select("hub").distinct()
     placed = held.join(far, "hub").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    beside = placed.select("hub", "node", "comp", F.explode("beside").alias("gram")).select(F.xxhash64("hub", "gram").alias("sig"), "hub", "node", "comp")
-    met = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_across, "via long, hub long, node long")
-    met = met.groupBy("via", "hub", "node").agg(F.count("*").alias("met"))
-    of = lambda who, as_: placed.select(F.col("hub").alias("via"), F.col("node").alias(who), *(F.col(c).alias(f"{as_}_{c}") for c in ("common", "n_node", "least")))
-    met = met.join(of("hub", "a"), ["via", "hub"]).join(of("node", "b"), ["via", "node"])
-    need = F.ceil(num * (F.col("a_n_node") + F.col("b_n_node")) / F.lit(num + den)) - F.least("a_common", "b_common")
-    pairs = met.where(F.col("met") + F.greatest("a_least", "b_least") - 1 >= need).select("hub", "node")
+    # Of what is outside, a partner must share `least` at least, as it is no smaller than num / den of this one.
+    placed = placed.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common")))
+    first_ones = F.slice("beside", F.lit(1), F.greatest(F.lit(0), F.col("n_node") - F.col("common") - F.col("least") + 1).cast("int"))
+    beside = placed.select("hub", "node", "comp", "n_node", "common", "least", F.explode(first_ones).alias("gram")).withColumn("sig", F.xxhash64("hub", "gram")).drop("gram")
+    met = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(partial(_across, num=num, den=den), "via long, hub long, node long, asked long")
+    met = met.groupBy("via", "hub", "node").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
+    pairs = met.where("met >= asked").select("hub", "node")
     # Enough in common within the hub's set: sizes up to `most`, met by size.
     most = F.floor(F.col("common") * (num + den) / F.lit(num)) - F.col("n_node")
     sized = placed.select("hub", "node", "comp", F.col("n_node").alias("size"), most.alias("most"))
