@@ -21,7 +21,8 @@ a document's set falls into one segment a fragment.
    number and not its square, and no link between different components is lost.
 
 Defined results: null or empty text has an empty set (n_shingles 0) and is linked with nothing; fewer words than n
-make one shingle of them all. Rows of one doc_id are one node. A row without doc_id takes no part (component_id
+make one shingle of them all. Rows of one doc_id are one node; if their texts
+differ, the set of fewest n-grams is the one compared. A row without doc_id takes no part (component_id
 null). Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
@@ -206,7 +207,7 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int, out: int = 1
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), via[lo])), pa.array(np.minimum(node[x], node[o])), pa.array(np.maximum(node[x], node[o])), pa.array(asked)], schema=_MET)
 
 
-_PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
+_PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("text", pa.int64()), ("grams", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -225,8 +226,9 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.
                 cuts = np.searchsorted((grams >> U(32)) * U(FRAGMENTS) >> U(32), np.arange(FRAGMENTS + 1))
                 parts = [grams[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 node = int(nodes[w.rows.start + i])
+                text = int(np.bitwise_xor.reduce(grams).view(np.int64)) if len(grams) else 0
                 for d in to[w.rows.start + i].as_py():
-                    out += [(d["hub"], p, d["salt"], d["member"], node, int(n[i]), parts[p]) for p in range(FRAGMENTS)]
+                    out += [(d["hub"], p, d["salt"], d["member"], node, int(n[i]), text, parts[p]) for p in range(FRAGMENTS)]
                     size += 8 * int(n[i])
                     if size > 4 << 20:
                         yield _batch(out, _PARTS)
@@ -241,17 +243,21 @@ _COUNTS = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("part", pa.int3
 def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int, beside: bool) -> Iterator[pa.RecordBatch]:
     """Partial overlaps within one fragment: the hub's segment comes first, its members' follow.
 
-    beside: also a member's first n-grams outside of the hub's set, as many as a pair through them can need.
+    Rows that repeat a node follow each other: the first counts. beside: also a member's first n-grams outside of the
+    hub's set, as many as a pair through them can need.
     """
     hub: tuple | None = None
-    grams, n_hub = np.zeros(0, U), 0
+    grams, n_hub, last = np.zeros(0, U), 0, None
     for batch in batches:
         out = []
-        for h, p, s, m, node, n, g in zip(*(batch[c].to_pylist() for c in _PARTS.names), strict=True):
+        for h, p, s, m, node, n, _, g in zip(*(batch[c].to_pylist() for c in _PARTS.names), strict=True):
             g = np.frombuffer(g, U)
             if not m:
-                hub, grams, n_hub = (h, p, s), g, n
-            elif hub == (h, p, s):
+                if hub != (h, p, s):
+                    hub, grams, n_hub = (h, p, s), g, n
+                last = None
+            elif hub == (h, p, s) and node != last:
+                last = node
                 both = grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g if len(grams) else np.zeros(len(g), bool)
                 rest = []
                 if beside:
@@ -270,8 +276,8 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     # The first time many texts are asked for: they move by a sort-merge join, the same way at every size.
     dest = dest.hint("merge") if beside else dest
     texts = docs.join(dest, docs["doc_id"] == dest["__node"]).select(F.col("doc_id").alias("node"), "text", "dest")
-    parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, grams binary")
-    order = ("hub", "part", "salt", "member")
+    parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, text long, grams binary")
+    order = ("hub", "part", "salt", "member", "node", "n", "text")
     parts = parts.repartition(*order[:3]).sortWithinPartitions(*order)
     each = parts.mapInArrow(partial(_overlaps, num=num, den=den, beside=beside), "hub long, node long, part int, common long, n_hub long, n_node long, beside array<long>")
     listed = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "beside"))), lambda x: x["beside"])).alias("beside")] if beside else []

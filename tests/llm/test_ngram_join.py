@@ -65,6 +65,15 @@ def test_components_are_those_of_all_pairs(spark, seed, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, num, 100)
 
 
+def test_repeated_rows_count_once(spark):
+    """A pair a little under the threshold stays apart, however often its rows are repeated."""
+    base = [f"w{i}" for i in range(60)]
+    other = base[:40] + [f"x{i}" for i in range(20)]
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (2, " ".join(other)), (1, " ".join(base)), (2, " ".join(other))]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=1, num=6, den=10).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+
+
 def test_awkward_rows(awkward, nothing):
     got = ngram_join(awkward, n=3, num=9, den=10).collect()
     assert len(got) == awkward.count()
