@@ -23,8 +23,9 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, tolerance_second
 
 def contained(points: DataFrame, spans: DataFrame, key: str, ts: str = "ts", start: str = "start", end: str = "end", how: str = "left") -> DataFrame:
     """points with the spans of the same key that contain them, bounds included."""
-    on = (points[key] == spans[key]) & (points[ts] >= spans[start]) & (points[ts] <= spans[end])
-    return points.join(spans, on, how).drop(spans[key])
+    held = spans.withColumnRenamed(key, "__key")
+    on = (F.col(key) == F.col("__key")) & (F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))
+    return points.join(held, on, how).drop("__key")
 
 
 def previous_within(df: DataFrame, key: str, value: str, hours: int, ts: str = "ts", order: str = "seq") -> DataFrame:
