@@ -46,7 +46,7 @@ MEMBERS = 512
 #: A size class spans this many steps of 1 / threshold.
 STEPS = 2
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lead", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
 
 
 def size_classes(largest: int, num: int, den: int) -> np.ndarray:
@@ -111,7 +111,8 @@ def signatures(row: np.ndarray, value: np.ndarray, n: np.ndarray, num: int, den:
 
 
 def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower: bool) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[int, int]] = set()
+    """Each row's set by its digest; of equal sets of a task the first one leads, and only it has signatures."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
         ids = batch["doc_id"]
         for w in words(batch["text"], lower):
@@ -123,12 +124,13 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
                 k1[head] = np.add.reduceat(mix(value), at)
                 k2[head] = np.bitwise_xor.reduceat(mix(value + U(0x2545F4914F6CDD1D)), at)
             given = ids[w.rows].is_valid().to_numpy(zero_copy_only=False)
-            new = np.zeros(len(n), bool)
+            numbers = ids[w.rows].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            new, lead = np.zeros(len(n), bool), numbers.copy()
             for i in head:
-                key = (int(k1[i]), int(k2[i]))
-                if given[i] and key not in seen:
-                    seen.add(key)
-                    new[i] = True
+                if given[i]:
+                    key = (int(k1[i]), int(k2[i]))
+                    new[i] = key not in seen
+                    lead[i] = seen.setdefault(key, int(numbers[i]))
             if len(seen) > 200_000:
                 seen.clear()
             mine = new[row]
@@ -138,7 +140,7 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
             each = np.bincount(r, minlength=len(n))
             at = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
             lists = [pa.ListArray.from_arrays(at, longs(s[order])), pa.ListArray.from_arrays(at, pa.array(tag[order].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), *lists], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), pa.array(lead, pa.int64(), mask=~given), *lists], schema=_SETS)
 
 
 _PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
@@ -293,11 +295,13 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     links), n_links (links found from its set to others; those that only join what is joined already aren't sought).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = table(docs.mapInArrow(partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, sigs array<long>, tags array<int>"), "sets")
+    sets = table(docs.mapInArrow(partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, lead long, sigs array<long>, tags array<int>"), "sets")
     named = sets.where("n > 0 and doc_id is not null")
-    keys = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    member = named.select("doc_id", "k1", "k2", "n").join(keys, ["k1", "k2", "n"]).select("doc_id", "rep")
-    same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # Copies hang on the first one of their task; only these meet, so no task gathers all copies of a text.
+    leads = named.where("doc_id = lead").select("doc_id", "k1", "k2", "n").distinct()
+    reps = leads.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    same = leads.join(reps, ["k1", "k2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = same.union(named.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))).where("a <> b").distinct()
 
     lists = named.where(F.size("sigs") > 0).select(F.explode(F.arrays_zip("sigs", "tags")).alias("s"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
     lists = lists.select(F.col("s.sigs").alias("sig"), "node", "n", F.col("s.tags").alias("tag"))
