@@ -40,11 +40,20 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.select("tp", "fp", "tn", "fn", r(F.try_divide(tp + tn, tp + fp + tn + fn)).alias("accuracy"), r((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced"), r(F.try_divide(tp, tp + fp)).alias("precision"), r(F.try_divide(tp, tp + fn)).alias("recall"))
 
 
-def auroc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks, ties at their mean. Counts per distinct score are summed first."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+def auroc(df: DataFrame, truth: str, score: str, slices: int = 64) -> DataFrame:
+    """Area under the ROC curve by ranks, ties at their mean.
+
+    Counts per distinct score are summed first. Ranks are counted within slices of the scores, whose bounds are rough
+    quantiles, and slices follow each other by their totals: no task sees more than about a slice.
+    """
+    by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), [i / slices for i in range(1, slices)]).alias("cuts"))
+    # One row of bounds and one of totals a slice.
+    by = by.join(F.broadcast(cuts)).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    ahead = by.groupBy("slice").agg(F.sum("n").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
+    within = Window.partitionBy("slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(ahead), "slice")
+    ranked = ranked.withColumn("rank", F.col("ahead") + F.col("below") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return total.select(F.round(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auroc"))
 

@@ -128,3 +128,36 @@ def test_numerics_directory(spark, tmp_path):
 def test_bounded_fill_stops(spark):
     df = spark.createDataFrame([(1, i, 5.0 if i == 1 else None) for i in range(6)], "k int, t int, v double")
     assert [r.v_filled for r in grids.bounded_fill(df, "k", "v", 2, "t").orderBy("t").collect()] == [None, 5.0, 5.0, 5.0, None, None]
+
+
+def test_feature_rows_need_every_label(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "t int, label string, value double")
+    assert [tuple(r) for r in features.feature_rows(df, ["b", "a"]).collect()] == [(1, 2.0, 1.0)]
+    assert features.feature_rows(df, ["b", "a"], complete=False).count() == 2
+
+
+def test_correlation_divides_by_the_first_signal(spark):
+    p = points(spark, [("a", i, v, i) for i, v in enumerate([1.0, 2.0, 4.0, 9.0])] + [("b", i + 0.5, v, 10 + i) for i, v in enumerate([2.0, 3.0, 7.0])])
+    got = features.correlation(p, "1 minute", [("a", "b")]).first().value
+    x, y, n = np.array([1.0, 2.0, 4.0]), np.array([2.0, 3.0, 7.0]), 4
+    cov = (x * y).sum() / n - x.sum() * y.sum() / n**2
+    var = ((x * x).sum() / n - (x.sum() / n) ** 2) * ((y * y).sum() / n - (y.sum() / n) ** 2)
+    assert abs(got - cov / math.sqrt(var)) < 1e-9
+
+
+def test_reformat_and_overlaps(spark):
+    df = spark.sql("select timestamp'2020-02-01 10:00:00' as ts, cast(null as double) as a, 2.5D as b")
+    assert grids.reformat(df, "ts", ["a", "b"]).first().line == "10:00:00 01/02/2020,-1.0,2.5"
+    o = spark.sql("select 1 as a, 3 as b, 3 as c, 5 as d, 4 as e")
+    assert o.select(grids.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0]
+    assert not o.select(grids.overlaps(F.col("a"), F.col("b"), F.col("e"), F.col("d"))).first()[0]
+
+
+def test_missing_values_are_injected_by_chance(spark):
+    df = spark.range(4000).select("id", F.lit(5.0).alias("v"))
+    n = grids.inject_missing(df, "v", 0.2, 0, "id").where("v = -1.0").count()
+    assert 700 < n < 900
+
+
+def test_online_zscore_of_nothing(spark):
+    assert normalize.online_zscore(points(spark, [("a", 0, 1.0, 0)]).where("false")).count() == 0
