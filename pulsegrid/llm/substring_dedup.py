@@ -13,7 +13,8 @@ anchors in the same place (winnowing).
 
 A passage that a third of all texts share doesn't gather in one task: tasks merge equal stretches (and equal windows)
 before the shuffle and send one of them; what they have met twice is settled where it is. Equal keys come sorted and
-are read as a stream, in bounded memory.
+are read as a stream, in bounded memory. Tasks read rows in an order that files or sort keys fix, so one that runs
+again after a loss settles and sends the same.
 
 Defined results: null or empty text has no words. A text of fewer words than the length keeps all. A window may overlap
 the other place where its sequence starts, in the same text too. Rows are told apart by doc_id and text, so repeated
@@ -282,7 +283,7 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, texts: bool = False) -
     said = table(seeds.mapInArrow(_extend, found), "seeds")
 
     def per_row(x: DataFrame) -> DataFrame:
-        return x.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("first", "n", "what")).alias("said"))
+        return x.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("first", "n", "what"))).alias("said"))
 
     def met(x: DataFrame, how: str) -> DataFrame:
         return docs.join(x, docs["th"].eqNullSafe(x["__t"]) & docs["doc_id"].eqNullSafe(x["__d"]), how).select("doc_id", "text", "th", "said")
