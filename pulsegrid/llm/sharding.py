@@ -27,7 +27,9 @@ from pulsegrid.llm.shared import table
 from pulsegrid.llm.textkit import grouped, runs
 
 #: Bytes of text in a bucket.
-BUCKET = 32 << 20
+BUCKET = 8 << 20
+#: Buckets up to which their starts (16 bytes each) are broadcast.
+MANY = 1 << 16
 
 
 def fisher_yates(n: int, seed: tuple[int, int]) -> np.ndarray:
@@ -64,7 +66,12 @@ def shard(docs: DataFrame, *, shards: int = 8, seed: int = 11, bucket: int = BUC
     counts = hashed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = table(counts.select(F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before")), "buckets")
-    dealt = hashed.withColumn("size", size).repartition(buckets, "__bucket").join(starts.hint("merge") if buckets > 1 << 16 else F.broadcast(starts), F.col("__bucket") == F.col("__b")).drop("__b")
+    sized, on = hashed.withColumn("size", size), F.col("__bucket") == F.col("__b")
+    if buckets <= MANY:  # starts are small, and each bucket is a partition
+        dealt = sized.join(F.broadcast(starts), on).repartitionById(buckets, F.col("__bucket").cast("int"))
+    else:
+        dealt = sized.repartition(buckets, "__bucket").join(starts.hint("merge"), on)
+    dealt = dealt.drop("__b")
     placed = dealt.sortWithinPartitions("__bucket", "__key", *names)
     kept = [*names, "size"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema)

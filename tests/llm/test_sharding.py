@@ -37,6 +37,13 @@ def test_order_of_input_and_partitions_do_not_matter(spark):
     assert rows_of(a) != rows_of(sharding.shard(df, bucket=2000, seed=5))
 
 
+def test_many_buckets_take_the_other_way(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id as doc_id", "concat('t', id) as text")
+    a = rows_of(sharding.shard(df, bucket=300))
+    monkeypatch.setattr(sharding, "MANY", 1)
+    assert rows_of(sharding.shard(df, bucket=300)) == a
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text")
     sharding.write(df, str(tmp_path / "s"), shards=3)
