@@ -17,13 +17,13 @@ def _labels(spark, sf_dir):
 SEQ = f"WITH p AS ({POINTS}), s AS (SELECT entity, row_number() OVER w AS rn, list(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS v, value AS target FROM p WINDOW w AS (PARTITION BY entity ORDER BY ts, seq))"
 
 
-@query("sequences", f"{SEQ} SELECT entity, rn, array_to_string(v, ';') AS seq_text, target FROM s WHERE len(v) = 3")
+@query("sequences", f"{SEQ} SELECT entity, rn::INTEGER AS rn, array_to_string(v, ';') AS seq_text, target FROM s WHERE len(v) = 3")
 def sequences(spark, sf_dir):
     out = ml.sequences(signals(spark, sf_dir), "entity", "value", "value", 3, "ts", "seq")
     return out.select("entity", "rn", F.array_join(F.transform("seq_values", lambda v: v.cast("string")), ";").alias("seq_text"), "target")
 
 
-@query("sequences_strided", f"{SEQ} SELECT entity, rn, array_to_string(v, ';') AS seq_text, target FROM s WHERE len(v) = 3 AND (rn - 1) % 3 = 0")
+@query("sequences_strided", f"{SEQ} SELECT entity, rn::INTEGER AS rn, array_to_string(v, ';') AS seq_text, target FROM s WHERE len(v) = 3 AND (rn - 1) % 3 = 0")
 def sequences_strided(spark, sf_dir):
     out = ml.sequences(signals(spark, sf_dir), "entity", "value", "value", 3, "ts", "seq", stride=3)
     return out.select("entity", "rn", F.array_join(F.transform("seq_values", lambda v: v.cast("string")), ";").alias("seq_text"), "target")
@@ -35,7 +35,7 @@ def standard_scale(spark, sf_dir):
     return ml.standard_scale(df, ["l_quantity", "l_tax"]).withColumns({c: F.round(c, 5) + 0.0 for c in ("l_quantity", "l_tax")})
 
 
-@query("kfold_split", f"WITH p AS ({POINTS}) SELECT entity, seq, ntile(4) OVER (PARTITION BY entity ORDER BY ts, seq) AS fold FROM p")
+@query("kfold_split", f"WITH p AS ({POINTS}) SELECT entity, seq, (ntile(4) OVER (PARTITION BY entity ORDER BY ts, seq))::INTEGER AS fold FROM p")
 def kfold_split(spark, sf_dir):
     return ml.kfold(signals(spark, sf_dir), 4, "entity", "ts", "seq").select("entity", "seq", "fold")
 

@@ -46,7 +46,7 @@ def moving_avg_end_ts(spark, sf_dir):
 @query("count_trigger", f"""WITH p AS ({POINTS}), r AS (SELECT label, time_bucket(INTERVAL 6 HOUR, ts) AS win_start, ts, seq, value,
   row_number() OVER w AS fired_at, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS sum_v, max(ts) OVER (w ROWS UNBOUNDED PRECEDING) AS t
   FROM p WINDOW w AS (PARTITION BY label, time_bucket(INTERVAL 6 HOUR, ts) ORDER BY ts, seq))
-  SELECT label, win_start, fired_at, round(sum_v, 6) AS sum_v, t FROM r WHERE fired_at % 5 = 0""")
+  SELECT label, win_start, fired_at::INTEGER AS fired_at, round(sum_v, 6) AS sum_v, t FROM r WHERE fired_at % 5 = 0""")
 def count_trigger(spark, sf_dir):
     return windows.count_trigger(signals(spark, sf_dir), "6 hours", 5)
 
