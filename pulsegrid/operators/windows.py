@@ -28,7 +28,15 @@ def count_trigger(points: DataFrame, size: str, n: int, keys: tuple[str, ...] =
 
 
 def trailing(points: DataFrame, span_seconds: int, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Mean, sample deviation, minimum and maximum of each point's last span, (t - span, t]."""
-    over = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-(span_seconds * 1_000_000 - 1), 0)
+    """Mean, sample deviation, minimum and maximum of each point's last span, (t - span, t].
+
+    Time is cut into slices as long as the span; a point goes to its own slice and, to be looked back on, to the next
+    one. So a key of any length is dealt to many tasks, for twice the rows.
+    """
+    us, span = F.unix_micros("ts"), span_seconds * 1_000_000
+    p = points.select(*keys, "seq", "ts", "value", us.alias("__us"), F.floor(us / span).alias("__own"))
+    p = p.withColumn("__slice", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    over = Window.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-(span - 1), 0)
     v: Column = F.col("value")
-    return points.select(*keys, "seq", "ts", F.round(F.avg(v).over(over), 6).alias("mean_v"), F.round(F.stddev_samp(v).over(over), 6).alias("std_v"), F.min(v).over(over).alias("min_v"), F.max(v).over(over).alias("max_v"))
+    stats = {"mean_v": F.round(F.avg(v).over(over), 6), "std_v": F.round(F.stddev_samp(v).over(over), 6), "min_v": F.min(v).over(over), "max_v": F.max(v).over(over)}
+    return p.withColumns(stats).where("__slice = __own").select(*keys, "seq", "ts", *stats)

@@ -88,7 +88,7 @@ ZSCORE = f"""p AS ({POINTS}), a AS (SELECT *, sum(value) OVER w / count(value) O
 
 @query("online_zscore", f"WITH {ZSCORE} SELECT label, seq, round(z, 6) + 0.0 AS z FROM z")
 def online_zscore(spark, sf_dir):
-    return normalize.online_zscore(signals(spark, sf_dir)).select("label", "seq", (F.round("z", 6) + 0.0).alias("z"))
+    return normalize.online_zscore(signals(spark, sf_dir), slice_seconds=7 * 86_400).select("label", "seq", (F.round("z", 6) + 0.0).alias("z"))
 
 
 @query("zscore_outlier_band", f"WITH {ZSCORE} SELECT label, seq, round(z, 6) + 0.0 AS value FROM z WHERE z > -2 AND z < 2")

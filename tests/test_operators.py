@@ -34,6 +34,14 @@ def test_zscore_is_the_plain_loop(spark):
         assert abs(row.z - want) < 1e-9
 
 
+def test_sliced_zscore_is_the_same(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, int(t), float(v), i) for i, (k, t, v) in enumerate(zip(r.choice(["a", "b"], 400), r.integers(0, 9000, 400), r.normal(5, 3, 400), strict=True))]
+    p = points(spark, rows)
+    a, b = ({x.seq: x.z for x in normalize.online_zscore(p, slice_seconds=s).collect()} for s in (None, 500))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
 def test_spline_goes_through_its_knots():
     x, y = np.array([0.0, 1.0, 2.5, 4.0]), np.array([1.0, 3.0, 2.0, 5.0])
     for a, b in zip(x, y, strict=True):
