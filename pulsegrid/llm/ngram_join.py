@@ -131,7 +131,7 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
                     key = (int(k1[i]), int(k2[i]))
                     new[i] = key not in seen
                     lead[i] = seen.setdefault(key, int(numbers[i]))
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             mine = new[row]
             again = np.where(new, n, 0)
