@@ -21,7 +21,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @cache
-def _table(lower: bool) -> np.ndarray:
+def byte_values(lower: bool) -> np.ndarray:
+    """A fixed random number for each byte; lower: A-Z have those of a-z."""
     out = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=U)
     if lower:
         out[65:91] = out[97:123]
@@ -116,7 +117,7 @@ def words(column: pa.Array, lower: bool = False, chunk: int = CHUNK, space: np.n
         start[edge] = solid[edge]
         end[edge - 1] = solid[edge - 1]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-        yield Words(slice(lo, hi), part, np.searchsorted(start, at), start, end, spans(_table(lower)[part], start, end))
+        yield Words(slice(lo, hi), part, np.searchsorted(start, at), start, end, spans(byte_values(lower)[part], start, end))
         lo = hi
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import beside, table
-from pulsegrid.llm.textkit import U, _table, letters, spans, words
+from pulsegrid.llm.textkit import U, byte_values, letters, spans, words
 
 BUCKETS = 1 << 20
 CHOSEN = 192
@@ -38,7 +38,7 @@ L2 = 0.5
 def _features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Some rows at a time: (rows, row, bucket) of every feature, with repeats."""
     for w in words(column, lower=True, space=letters()):
-        source = _table(True)[w.data]
+        source = byte_values(True)[w.data]
         size = w.end - w.start
         rows, found = [w.row], [w.hash]
         for n in (4, 5, 6):
@@ -48,7 +48,7 @@ def _features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]
         yield w.rows, np.concatenate(rows), (np.concatenate(found) >> U(40)) & U(BUCKETS - 1)
     for w in words(column, lower=True):
         long = np.flatnonzero(w.end - w.start >= 2)
-        yield w.rows, w.row[long], (spans(_table(True)[w.data], w.end[long] - 2, w.end[long]) + U(2) >> U(40)) & U(BUCKETS - 1)
+        yield w.rows, w.row[long], (spans(byte_values(True)[w.data], w.end[long] - 2, w.end[long]) + U(2) >> U(40)) & U(BUCKETS - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch], categories: int) -> Iterator[pa.RecordBatch]:
