@@ -206,6 +206,53 @@ def feature_rows(spark, sf_dir):
     return features.feature_rows(long, [f"{x}{k}" for k in KINDS for x in ("mean", "max")])
 
 
+def clean_sql(normalization: bool = True, interpolation: bool = True, outliers: bool = True) -> str:
+    """SQL of the cleaned signals k (label, ts, seq, value), as CTEs: six-hour windows each hour."""
+    if interpolation:
+        base = f"""{sliding(360, 60)}, i1 AS (SELECT *, epoch_us(ts) AS us, epoch_us(min(ts) OVER (PARTITION BY label, win_start)) - epoch_us(win_start) AS rel FROM w WHERE value <> -1.0),
+  i2 AS (SELECT *, epoch_us(win_start) + 10800000000 + CASE WHEN rel % 60000000 > 0 THEN rel % 60000000 WHEN rel = 0 THEN 0 ELSE 60000000 END AS ex FROM i1),
+  i3 AS (SELECT label, win_start, ex, arg_min(value, us) FILTER (us = ex) AS x, arg_max(value, us) FILTER (us < ex) AS a, (max(us) FILTER (us < ex))::DOUBLE AS at_,
+  arg_min(value, us) FILTER (us > ex) AS b, (min(us) FILTER (us > ex))::DOUBLE AS bt FROM i2 GROUP BY ALL),
+  c0 AS (SELECT label, make_timestamp(ex) AS ts, epoch_us(win_start) AS seq, coalesce(x, a + (ex - at_) / (bt - at_) * (b - a), a, b, 0.0) AS value FROM i3)"""
+    else:
+        base = f"c0 AS (SELECT label, ts, seq, value FROM ({POINTS}) WHERE value <> -1.0)"
+    if not normalization:
+        return f"{base}, k AS (SELECT * FROM c0)"
+    return f"""{base}, z1 AS (SELECT *, sum(value) OVER r / count(value) OVER r AS m, count(value) OVER r AS n FROM c0 WINDOW r AS (PARTITION BY label ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+  z2 AS (SELECT *, sqrt(sum(pow(value - m, 2)) OVER (PARTITION BY label ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / n) AS sd FROM z1),
+  z3 AS (SELECT label, ts, seq, CASE WHEN sd > 0 THEN (value - m) / sd WHEN m > 0 THEN value - m ELSE 0 END AS value FROM z2), k AS (SELECT * FROM z3{" WHERE value > -3 AND value < 3" if outliers else ""})"""
+
+
+def features_sql(without: str) -> str:
+    flags = {f: without != f for f in ("normalization", "interpolation", "outliers")}
+    day = "time_bucket(INTERVAL 1 DAY, ts)"
+    ctes = [clean_sql(**flags), f"o AS (SELECT label, {day} AS win_start, ts, seq, value, row_number() OVER q AS rn, lead(value) OVER q AS nxt, count(*) OVER (PARTITION BY label, {day}) AS n, stddev_pop(value) OVER (PARTITION BY label, {day}) AS sd FROM k WINDOW q AS (PARTITION BY label, {day} ORDER BY ts, seq))"]
+    parts, names = [], []
+    if without != "correlation":
+        pairs = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+        ctes.append(f"""s AS (SELECT x.label AS la, y.label AS lb, x.win_start, max(x.n)::DOUBLE AS n, sum(x.value) AS x, sum(y.value) AS y, sum(x.value * y.value) AS xy, sum(x.value * x.value) AS xx, sum(y.value * y.value) AS yy
+  FROM (VALUES {pairs}) v(a, b) JOIN o x ON x.label = a JOIN o y ON y.label = b AND y.win_start = x.win_start AND y.rn = x.rn GROUP BY ALL), sv AS (SELECT *, (xx / n - x * x / (n * n)) * (yy / n - y * y / (n * n)) AS var FROM s)""")
+        parts.append("SELECT win_start, 'Corr' || la || lb AS name, (xy / n - x * y / (n * n)) / sqrt(var) AS v FROM sv WHERE var > 1e-9")
+        names += [f"Corr{a}{b}" for a, b in PAIRS]
+    if without != "entropy":
+        ctes.append("""e AS (SELECT a.label, a.win_start, a.n - 2 AS m, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd) AS c1, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd AND abs(a.nxt - b.nxt) <= 0.2 * a.sd) AS c2
+  FROM o a JOIN o b ON a.label = b.label AND a.win_start = b.win_start AND a.rn < b.rn AND b.rn <= b.n - 2 GROUP BY ALL)""")
+        parts.append("SELECT win_start, 'Entropy' || label, CASE WHEN c1 > 0 AND c2 > 0 THEN -ln(c2 / c1) ELSE ln(m * (m - 1)) END FROM e WHERE m > 1")
+        names += [f"Entropy{x}" for x in KINDS]
+    if without != "other":
+        ctes.append("t AS (SELECT label, win_start, stddev_pop(value) AS stdev, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM o GROUP BY 1, 2)")
+        parts += [f"SELECT win_start, '{n}' || label, {c} FROM t" for n, c in (("stdev", "round(stdev, 6)"), ("mean", "round(mean, 6)"), ("min", "lo"), ("max", "hi"))]
+        names += [f"{n}{x}" for x in KINDS for n in ("stdev", "mean", "min", "max")]
+    if without != "deltas":
+        ctes.append("""dw AS (SELECT k.*, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') - j.j * INTERVAL 60 MINUTE AS ws FROM k, (SELECT unnest(range(6)) AS j) j),
+  dd AS (SELECT label, ts, seq, value - lag(value) OVER q AS d, row_number() OVER q AS rn FROM dw WINDOW q AS (PARTITION BY label, ws ORDER BY ts, seq))""")
+        parts.append(f"SELECT {day}, 'delta' || label, arg_max(d, (ts, seq)) FROM dd WHERE rn = 2 GROUP BY 1, 2")
+        names += [f"delta{x}" for x in KINDS]
+    ctes.append("f(win_start, name, v) AS (" + " UNION ALL ".join(parts) + ")")
+    wide = ", ".join(f"round(max(v) FILTER (name = '{n}'), 6) AS {n}" for n in names)
+    return f"WITH {', '.join(ctes)}, g AS (SELECT win_start, {wide} FROM f GROUP BY 1) SELECT * FROM g WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}"
+
+
 def _ablation(name):
     def run(spark, sf_dir):
         from pulsegrid.plans.pipeline import generate_features
@@ -216,7 +263,7 @@ def _ablation(name):
 
 
 for _name in ("none", "deltas", "entropy", "other", "correlation", "normalization", "interpolation", "outliers"):
-    query(f"features_wo_{_name}" if _name != "none" else "features_all")(_ablation(_name))
+    query(f"features_wo_{_name}" if _name != "none" else "features_all", features_sql(_name))(_ablation(_name))
 
 
 @query("asof_tolerance", """WITH l AS (SELECT event_id AS seq, user_id AS entity, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id AS entity, ts, value, event_id FROM events WHERE event_type = 'view')
