@@ -88,3 +88,33 @@ def to_many(df: DataFrame, outputs: dict[str, tuple], checkpoint: str):
 def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str):
     """Messages (key, value) to a topic, at least once; needs Spark's Kafka package."""
     return messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def count_firings(points: DataFrame, size: str, n: int) -> DataFrame:
+    """Windows fire each time another n of their points have come, with what they have gathered so far.
+
+    State is (points, sum, last time) of each label and window; points of one micro-batch are put in order of (ts, seq).
+    """
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, total, last = state.get if state.exists else (0, 0.0, pd.Timestamp(0))
+        out = []
+        for row in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples():
+            count, total, last = count + 1, total + row.value, max(last, row.ts)
+            if count % n == 0:
+                out.append((key[0], key[1], count, total, last))
+        state.update((count, total, last))
+        yield pd.DataFrame(out, columns=["label", "win_start", "fired_at", "sum_v", "t"])
+
+    narrow = points.select("label", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+    keyed = narrow.withColumn("win_start", F.window("ts", size)["start"])
+    return keyed.groupBy("label", "win_start").applyInPandasWithState(run, "label string, win_start timestamp, fired_at int, sum_v double, t timestamp", "count int, total double, last timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def windowed_join(a: DataFrame, b: DataFrame, key: str, size: str, delay: str = "0 seconds") -> DataFrame:
+    """Pairs of two streams' points of one key within one window: a_seq, b_seq. State goes with the watermark."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        w = watermarked(df, delay).select(F.col(key).alias(f"{name}_key"), F.col("seq").alias(f"{name}_seq"), F.window("ts", size).alias(f"{name}_w"))
+        return w
+
+    on = F.expr("a_key = b_key AND a_w = b_w")
+    return side(a, "a").join(side(b, "b"), on).select("a_seq", "b_seq")

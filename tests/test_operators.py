@@ -169,3 +169,14 @@ def test_missing_values_are_injected_by_chance(spark):
 
 def test_online_zscore_of_nothing(spark):
     assert normalize.online_zscore(points(spark, [("a", 0, 1.0, 0)]).where("false")).count() == 0
+
+
+def test_feature_tables_and_fixed_numerics(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("index,DateVitals,a,b,label\n0,2020-01-01 10:00:00,1.5,x,3\n")
+    r = files.read_features(spark, str(tmp_path / "f.csv"), 2, 4, 4).first()
+    assert (r.key, r.label, r.features, r.ts.hour) == ("patientId", "3", [1.5, None], 10)
+    cells = ["'[10:00:00 01/02/2020]'", *map(str, range(1, 16))]
+    cells[4] = "-"
+    (tmp_path / "n.csv").write_text(",".join(cells) + "\n")
+    got = {x.label: x.value for x in files.read_numerics(spark, str(tmp_path / "n.csv")).collect()}
+    assert got["HR"] == 1.0 and got["ABPMean"] == 0.0 and got["NBPMean"] == 14.0 and len(got) == 8

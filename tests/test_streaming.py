@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import signals
-from pulsegrid.operators import aggregates, normalize
+from pulsegrid.operators import aggregates, normalize, windows
 from pulsegrid.streaming import jobs
 
 
@@ -47,3 +47,18 @@ def test_sinks(spark, small, tmp_path):
     outs = {"all": ("parquet", str(tmp_path / "o1"), lambda b: b), "view": ("parquet", str(tmp_path / "o2"), lambda b: b.where("label = 'view'"))}
     jobs.to_many(s, outs, str(tmp_path / "c2")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "o1")).count() == n > spark.read.parquet(str(tmp_path / "o2")).count() > 0
+
+
+def test_firings_are_those_of_the_batch(spark, small, tmp_path):
+    live = drained(jobs.count_firings(streamed(spark, small, tmp_path), "6 hours", 3), "f1").selectExpr("label", "win_start", "fired_at", "round(sum_v, 6) as sum_v", "t")
+    batch = windows.count_trigger(signals(spark, small), "6 hours", 3)
+    assert sorted(map(tuple, live.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
+
+
+def test_windowed_join(spark, small, tmp_path):
+    s = streamed(spark, small, tmp_path)
+    live = drained(jobs.windowed_join(s.where("label = 'click'"), s.where("label = 'view'"), "entity", "12 hours"), "j1")
+    p = windows.windowed(signals(spark, small), "12 hours").select("entity", "win_start", "seq", "label")
+    a, b = p.where("label = 'click'").withColumnRenamed("seq", "a_seq"), p.where("label = 'view'").withColumnRenamed("seq", "b_seq")
+    batch = a.join(b, ["entity", "win_start"]).select("a_seq", "b_seq")
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
