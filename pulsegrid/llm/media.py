@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import batched
+
 WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -173,7 +175,7 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes and the text as a binary column png."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_written, "doc_id long, n_bytes long, png binary")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), _written, "doc_id long, n_bytes long, png binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,4 +213,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_media(media: DataFrame) -> DataFrame:
     """Read a binary column png: its other columns stay; payload and media lengths and digests, feature, payload, error."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.drop("png").schema)
-    return media.mapInArrow(_read, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary, error string")
+    return batched(media, _read, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary, error string")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import components, table
+from pulsegrid.llm.shared import batched, components, table
 from pulsegrid.llm.textkit import U, grouped, longs, mix, runs, shingles, words
 
 #: Fragments of which each counts its own partial overlaps.
@@ -278,10 +278,10 @@ def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lowe
     # The first time many texts are asked for: they move by a sort-merge join, the same way at every size.
     dest = dest.hint("merge") if beside else dest
     texts = docs.join(dest, docs["doc_id"] == dest["__node"]).select(F.col("doc_id").alias("node"), "text", "dest")
-    parts = texts.mapInArrow(partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, text long, grams binary")
+    parts = batched(texts, partial(_cut, k=k, lower=lower), "hub long, part int, salt int, member tinyint, node long, n long, text long, grams binary")
     order = ("hub", "part", "salt", "member", "node", "n", "text")
     parts = parts.repartition(*order[:3]).sortWithinPartitions(*order)
-    each = parts.mapInArrow(partial(_overlaps, num=num, den=den, beside=beside), "hub long, node long, part int, common long, n_hub long, n_node long, beside array<long>")
+    each = batched(parts, partial(_overlaps, num=num, den=den, beside=beside), "hub long, node long, part int, common long, n_hub long, n_node long, beside array<long>")
     listed = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "beside"))), lambda x: x["beside"])).alias("beside")] if beside else []
     counts = each.groupBy("hub", "node").agg(F.sum("common").alias("common"), F.max("n_hub").alias("n_hub"), F.max("n_node").alias("n_node"), *listed)
     out = counts.withColumn("near", F.col("common") * den >= num * (F.col("n_hub") + F.col("n_node") - F.col("common")))
@@ -295,7 +295,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     links), n_links (links found from its set to others; those that only join what is joined already aren't sought).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = table(docs.mapInArrow(partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, lead long, sigs array<long>, tags array<int>"), "sets")
+    sets = table(batched(docs, partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, lead long, sigs array<long>, tags array<int>"), "sets")
     named = sets.where("n > 0 and doc_id is not null")
     # Copies hang on the first one of their task; only these meet, so no task gathers all copies of a text.
     leads = named.where("doc_id = lead").select("doc_id", "k1", "k2", "n").distinct()
@@ -306,13 +306,13 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     lists = named.where(F.size("sigs") > 0).select(F.explode(F.arrays_zip("sigs", "tags")).alias("s"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
     lists = lists.select(F.col("s.sigs").alias("sig"), "node", "n", F.col("s.tags").alias("tag"))
     shape = "sig long, node long, n int, tag int, others long"
-    buckets = table(lists.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, shape), "buckets")
+    buckets = table(batched(lists.repartition("sig").sortWithinPartitions("sig", "node"), _buckets, shape), "buckets")
     # Of a node's signatures by one cut, as many of the commonest as it can spare don't count.
     common = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("others"), "sig"))
     met = F.sum("others").over(Window.partitionBy("node"))
     kept = buckets.withColumn("rank", common).where(F.col("rank") > F.floor(F.col("tag") / 2)).withColumn("meets", met)
     ranked = kept.select("sig", "node", "n", "meets").repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "n", "node")
-    stars = table(ranked.select("sig", "node").mapInArrow(_stars, "hub long, node long").distinct(), "stars")
+    stars = table(batched(ranked.select("sig", "node"), _stars, "hub long, node long").distinct(), "stars")
     held = table(compared(docs, stars, n, num, den, lower, True), "compared")
     edge = lambda x: x.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = held.where("near").select("hub", "node")
@@ -325,7 +325,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     placed = placed.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common")))
     first_ones = F.slice("beside", F.lit(1), F.greatest(F.lit(0), F.col("n_node") - F.col("common") - F.col("least") + 1).cast("int"))
     beside = placed.select("hub", "node", "comp", "n_node", "common", "least", F.explode(first_ones).alias("gram")).withColumn("sig", F.xxhash64("hub", "gram")).drop("gram")
-    met = beside.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(partial(_across, num=num, den=den), "via long, hub long, node long, asked long")
+    met = batched(beside.repartition("sig").sortWithinPartitions("sig", "comp"), partial(_across, num=num, den=den), "via long, hub long, node long, asked long")
     met = met.groupBy("via", "hub", "node").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
     pairs = met.where("met >= asked").select("hub", "node")
     # Enough in common within the hub's set: sizes up to `most`, met by size.

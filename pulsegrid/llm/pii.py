@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import batched
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -199,7 +201,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): counts of the base spans, their digest, all spans as kind:start:end, n_added."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), _found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def _redact(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -211,5 +213,5 @@ def _redact(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every identifier in text replaced by [KIND], and n_chars, if there is one, counted anew."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(partial(_redact, at=docs.columns.index("text")), shape)
+    out = batched(docs, partial(_redact, at=docs.columns.index("text")), shape)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

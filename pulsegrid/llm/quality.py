@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import batched
 from pulsegrid.llm.textkit import U, words
 
 BUCKETS, WIDTH = 1 << 13, 32
@@ -74,7 +75,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors, BUCKETS x WIDTH, of the whole corpus."""
     shape = "part int, sums binary"
-    found = docs.select("text").mapInArrow(_contexts, shape).repartition(PARTS, "part").mapInArrow(_summed, shape)
+    found = batched(batched(docs.select("text"), _contexts, shape).repartition(PARTS, "part"), _summed, shape)
     out = np.zeros((PARTS, BUCKETS * WIDTH // PARTS))
     for part, sums in found.collect():  # PARTS rows of a fixed size
         out[part] = np.frombuffer(sums, np.int64)
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, rows: int
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", "label")
-    got = texts.mapInArrow(partial(_pool, vectors=vectors), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    got = batched(texts, partial(_pool, vectors=vectors), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, WIDTH), np.float32)
     return fit(x.astype(np.float64), got["label"].to_numpy().astype(np.int64))
 
@@ -171,5 +172,5 @@ def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, rows:
     """Per row of docs (doc_id, text): doc_id, held_out, score, predicted."""
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, rows=rows)
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_scores, vectors=vectors, net=net), "doc_id long, score double")
+    out = batched(docs.select(F.col("doc_id").cast("long"), "text"), partial(_scores, vectors=vectors, net=net), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

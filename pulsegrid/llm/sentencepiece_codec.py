@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import batched
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, ids: bool = True) -> DataFram
     with open(model, "rb") as f:
         data = f.read()
     shape = "doc_id long, n_tokens long, n_bytes_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_encode, model=data, ids=ids), shape)
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), partial(_encode, model=data, ids=ids), shape)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
@@ -230,4 +232,4 @@ def decode(coded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """Per row of coded (doc_id, ids): the text."""
     with open(model, "rb") as f:
         data = f.read()
-    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(partial(_decode, model=data), "doc_id long, text string")
+    return batched(coded.select(F.col("doc_id").cast("long"), "ids"), partial(_decode, model=data), "doc_id long, text string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import table
+from pulsegrid.llm.shared import batched, table
 from pulsegrid.llm.textkit import grouped, runs
 
 #: Bytes of text in a bucket.
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, *, shards: int = 8, seed: int = 11, bucket: int = BUC
     placed = dealt.sortWithinPartitions("__bucket", "__key", *names)
     kept = [*names, "size"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*kept).schema)
-    return placed.mapInArrow(partial(_shuffle, seed=seed, shards=shards), f"{fields}, shard int, slot long")
+    return batched(placed, partial(_shuffle, seed=seed, shards=shards), f"{fields}, shard int, slot long")
 
 
 def write(docs: DataFrame, path: str, **how) -> None:

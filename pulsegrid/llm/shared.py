@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,32 @@ def _drop() -> None:
             return
 
 
+#: Bytes of a batch that goes to a Python worker, where the session doesn't say another number.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class _Freed:
+    """A function of batches that gives memory back to the system when its task ends: workers live on for other tasks."""
+
+    def __init__(self, f: Callable) -> None:
+        self.f = f
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from self.f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not with every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def batched(df: DataFrame, f: Callable, shape: str) -> DataFrame:
+    """df.mapInArrow(f, shape) in batches of bounded bytes, whatever the length of the texts."""
+    conf = df.sparkSession.conf
+    if not conf.get(_BATCH, ""):
+        conf.set(_BATCH, str(BATCH))
+    return df.mapInArrow(_Freed(f), shape)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

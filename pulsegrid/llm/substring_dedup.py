@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import table
+from pulsegrid.llm.shared import batched, table
 from pulsegrid.llm.textkit import U, Words, grouped, longs, mix, runs, spans, words
 
 #: What a row says of its windows: they recur; they are yet to be held against others; they are there for others only.
@@ -277,10 +277,10 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, texts: bool = False) -
     words joined by one space.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    seeds = docs.mapInArrow(partial(_seeds, length=length), "anchor long, stretch long, doc_id long, th long, first int, n int, sure boolean")
+    seeds = batched(docs, partial(_seeds, length=length), "anchor long, stretch long, doc_id long, th long, first int, n int, sure boolean")
     found = "doc_id long, th long, first int, n int, what tinyint"
     seeds = seeds.repartition("anchor").sortWithinPartitions("anchor", "stretch")
-    said = table(seeds.mapInArrow(_extend, found), "seeds")
+    said = table(batched(seeds, _extend, found), "seeds")
 
     def per_row(x: DataFrame) -> DataFrame:
         return x.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("first", "n", "what"))).alias("said"))
@@ -289,8 +289,8 @@ def substring_dedup(docs: DataFrame, *, length: int = 35, texts: bool = False) -
         return docs.join(x, docs["th"].eqNullSafe(x["__t"]) & docs["doc_id"].eqNullSafe(x["__d"]), how).select("doc_id", "text", "th", "said")
 
     asked = said.where(f"what <> {RECUR}")
-    windows = met(per_row(asked), "inner").mapInArrow(partial(_windows, length=length), "window long, doc_id long, th long, first int, n int, sure boolean")
-    more = windows.repartition("window").sortWithinPartitions("window").mapInArrow(_recur, found)
+    windows = batched(met(per_row(asked), "inner"), partial(_windows, length=length), "window long, doc_id long, th long, first int, n int, sure boolean")
+    more = batched(windows.repartition("window").sortWithinPartitions("window"), _recur, found)
     covered = said.where(f"what = {RECUR}").unionByName(more)
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-    return met(per_row(covered), "left").mapInArrow(partial(_kept, length=length, texts=texts), shape)
+    return batched(met(per_row(covered), "left"), partial(_kept, length=length, texts=texts), shape)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import table
+from pulsegrid.llm.shared import batched, table
 
 VECTORS, QUERIES = 4096, 256
 _PART = pa.schema([("query_id", pa.int64()), ("list", pa.int32()), ("vec_id", pa.int64()), ("part", pa.int64())])
@@ -109,15 +109,15 @@ def topk(vectors: DataFrame, queries: Column | str, *, k: int = 10, scale: int =
     n_blocks = max(1, -(-n // VECTORS))
     packed = "ids binary, v binary, floor binary"
     number = lambda x, blocks: x.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    blocks = number(all_, n_blocks).repartition("block").mapInArrow(partial(_pack, rows=VECTORS, dim=dim), packed)
+    blocks = batched(number(all_, n_blocks).repartition("block"), partial(_pack, rows=VECTORS, dim=dim), packed)
     # A block's number is its hash; blocks of equal number only share a task.
     blocks = table(blocks.withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(n_blocks))).drop("floor"), "blocks")
 
     def scores(q: DataFrame, cutoff: bool) -> DataFrame:
-        packs = q.mapInArrow(partial(_pack, rows=QUERIES, dim=dim), packed).toDF("q_ids", "q_v", "q_floor")
+        packs = batched(q, partial(_pack, rows=QUERIES, dim=dim), packed).toDF("q_ids", "q_v", "q_floor")
         packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
         met = blocks.join(packs.hint("shuffle_hash"), "block").drop("block")
-        return met.mapInArrow(partial(_score, dim=dim, lists=lists, k=k, cutoff=cutoff), "query_id long, list int, vec_id long, part long")
+        return batched(met, partial(_score, dim=dim, lists=lists, k=k, cutoff=cutoff), "query_id long, list int, vec_id long, part long")
 
     def exact(pairs: DataFrame) -> DataFrame:
         v, q = all_.select("vec_id", "v"), asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))

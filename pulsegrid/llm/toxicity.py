@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import beside, table
+from pulsegrid.llm.shared import batched, beside, table
 from pulsegrid.llm.textkit import U, byte_values, letters, spans, words
 
 BUCKETS = 1 << 20
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     texts = table(texts.repartition(SAMPLE_PARTS), "sample").coalesce(SAMPLE_PARTS)
     count = len(categories)
     cols = [f"c{i}" for i in range(1 + 2 * count)]
-    counted = texts.mapInArrow(partial(_count, categories=count), "feature long, " + ", ".join(f"{c} long" for c in cols)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in cols))
+    counted = batched(texts, partial(_count, categories=count), "feature long, " + ", ".join(f"{c} long" for c in cols)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in cols))
     counted = table(counted.where("c0 >= 4"), "counts")
     totals = texts.agg(*(F.count(n).alias(f"n{i}") for i, n in enumerate(names)), *(F.coalesce(F.sum(n), F.lit(0)).alias(f"p{i}") for i, n in enumerate(names))).first()
     chosen: set[int] = set()
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
         best = counted.where((with_ >= 4) & (with_ < n)).orderBy(F.desc(chi), "feature").limit(CHOSEN)
         chosen |= {r[0] for r in best.select("feature").collect()}
     features = np.array(sorted(chosen), np.int64)
-    got = texts.mapInArrow(partial(_sample, features=features, names=["doc_id", *names]), "doc_id long, " + "".join(f"{n} int, " for n in names) + "bits binary").toPandas()
+    got = batched(texts, partial(_sample, features=features, names=["doc_id", *names]), "doc_id long, " + "".join(f"{n} int, " for n in names) + "bits binary").toPandas()
     got = got.sort_values(["doc_id"]).reset_index(drop=True)
     if not len(got):
         return fit_chain(features, np.zeros((0, len(features)), np.float32), np.zeros((0, count), np.int64))
@@ -209,7 +209,7 @@ def score(docs: DataFrame, chain: Chain, names: list[str]) -> DataFrame:
     cols = [f"p_{n}" for n in names]
     docs = docs.drop(*cols)
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} double" for c in cols)])
-    return docs.mapInArrow(partial(_scores, chain=chain, names=cols), shape)
+    return batched(docs, partial(_scores, chain=chain, names=cols), shape)
 
 
 def categories() -> dict[str, Column]:
