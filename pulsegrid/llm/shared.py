@@ -75,7 +75,7 @@ class _Freed:
 def batched(df: DataFrame, f: Callable, shape: str) -> DataFrame:
     """df.mapInArrow(f, shape) in batches of bounded bytes, whatever the length of the texts."""
     conf = df.sparkSession.conf
-    if not conf.get(_BATCH, ""):
+    if conf.get(_BATCH, None) is None:
         conf.set(_BATCH, str(BATCH))
     return df.mapInArrow(_Freed(f), shape)
 
