@@ -2,8 +2,8 @@
 
 toxicity: documents that the classifier chain rejects go. near_duplicates: of each group of documents linked by shared
 five-word shingles (similarity 0.8 or more) the one of the smallest doc_id stays. pii: identifiers become their kind in
-brackets. mixing: documents are drawn by probabilities that bring sources, languages and topics to the target weights.
-sentencepiece: the texts' token ids.
+brackets. mixing: documents are drawn by probabilities that bring sources, languages and topics to the target weights,
+at the highest rate up to RATE at which no probability exceeds 1. sentencepiece: the texts' token ids.
 
 Each stage's rows are written as Parquet to the shared folder and read again, so a lost executor costs one stage at most.
 """
@@ -30,7 +30,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sampled(docs, targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED)
+    return mixing.sampled(docs, targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED, reach=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

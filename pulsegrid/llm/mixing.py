@@ -3,7 +3,9 @@
 Documents are counted in words; the words of each cell (source, language, topic) are the start. Each round rakes the
 cells to the source, the language and the topic marginal in turn, so that after enough rounds the cells agree with all
 three and still are as near to the start as they can be. A cell's factor, fitted over found weight, gives each of its
-documents the probability rate * factor, at most 1, and a hash of doc_id and a seed decides.
+documents the probability rate * factor, and a hash of doc_id and a seed decides. A probability can't exceed 1, so with
+reach the rate is lowered until that of the scarcest cell is 1, and the draw has the targets' marginals. Without reach
+the rate stays and probabilities are cut off at 1: cells that ask for more fall short and the draw misses the targets.
 
 The topic of a document is the most frequent of a fixed number of word classes: words fall into classes by their
 length, a feature that any language has.
@@ -79,13 +81,19 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]], rate: float = 0.5, rounds: int = 12, seed: int = 17) -> DataFrame:
-    """docs with m_words, m_source, m_lang, m_topic, m_p (probability) and m_kept. docs is read twice."""
+def mix(docs: DataFrame, *, targets: Mapping[str, Mapping[str, float]], rate: float = 0.5, rounds: int = 12, seed: int = 17, reach: bool = False) -> DataFrame:
+    """docs with m_words, m_source, m_lang, m_topic, m_p (probability) and m_kept. docs is read twice.
+
+    reach: the rate is the most that is drawn; it is lowered where the targets can't be reached otherwise.
+    """
     docs = docs.drop("m_p", "m_kept")
     found = celled(docs)
     cells = found.groupBy(*DIMS).agg(F.sum("m_words").alias("m_total"))
     fitted = rake(cells, targets, rounds)
     whole = Window.partitionBy(F.lit(0))
+    if reach:
+        most = fitted.agg(F.max(F.col("m_fit") / F.col("m_total")) * F.sum("m_total")).first()[0]
+        rate = min(rate, 1.0 / most) if most else rate
     factor = fitted.withColumn("m_p", F.least(F.lit(1.0), F.lit(rate) * F.col("m_fit") * F.sum("m_total").over(whole) / F.col("m_total")))
     factor = table(factor.select(*[F.col(d).alias(f"k_{d}") for d in DIMS], "m_p"), "factors")
     at = [F.col(d) == F.col(f"k_{d}") for d in DIMS]

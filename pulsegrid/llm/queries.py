@@ -106,7 +106,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m_words", "m_topic", F.round("m_p", 9).alias("m_p"), "m_kept")
 
 
-def mixing_sql() -> str:
+def op10_mixing_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_mixing at the highest rate, up to RATE, at which the draw has the targets' marginals."""
+    found = mixing.mix(documents(spark, sf_dir), targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED, reach=True)
+    return found.select("doc_id", "m_words", "m_topic", F.round("m_p", 9).alias("m_p"), "m_kept")
+
+
+def mixing_sql(reach: bool = False) -> str:
     count = lambda lo: rf"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]{{{lo},}}'))"
     share = lambda dim: "CASE " + " ".join(f"WHEN m_{dim} = '{k}' THEN {v}" for k, v in TARGETS[dim].items()) + f" ELSE {1 / len(TARGETS[dim])!r} END" if dim in TARGETS else "1.0"
     parts = [
@@ -122,10 +128,14 @@ def mixing_sql() -> str:
         for dim in ("source", "lang", "topic"):
             parts.append(f"f{n + 1} AS MATERIALIZED (SELECT f.* REPLACE (fit * t / sum(fit) OVER (PARTITION BY f.m_{dim}) AS fit) FROM f{n} f JOIN t_{dim} USING (m_{dim}))")
             n += 1
-    parts.append(f"p AS (SELECT m_source, m_lang, m_topic, least(1.0, {RATE} * fit * sum(total) OVER () / total) AS p FROM f{n})")
+    rate = RATE
+    if reach:
+        parts.append(f"r AS (SELECT least({RATE}, 1.0 / (max(fit / total) * sum(total))) AS rate FROM f{n})")
+        rate = f"(SELECT coalesce(min(rate), {RATE}) FROM r)"
+    parts.append(f"p AS (SELECT m_source, m_lang, m_topic, least(1.0, {rate} * fit * sum(total) OVER () / total) AS p FROM f{n})")
     return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, m_words::BIGINT AS m_words, m_topic, round(coalesce(p, {RATE}), 9) AS m_p,
-  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 < coalesce(p, {RATE}) AS m_kept
+SELECT doc_id, m_words::BIGINT AS m_words, m_topic, round(coalesce(p, {rate}), 9) AS m_p,
+  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 < coalesce(p, {rate}) AS m_kept
 FROM b LEFT JOIN p USING (m_source, m_lang, m_topic)"""
 
 
@@ -136,9 +146,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_join, op3_substring_dedup, op4_media, op5_topk_search, op6_sentencepiece, op7_sharding, op8_pii, op9_quality, op10_mixing, pipeline)
+    own = (op1_toxicity, op2_ngram_join, op3_substring_dedup, op4_media, op5_topk_search, op6_sentencepiece, op7_sharding, op8_pii, op9_quality, op10_mixing, op10_mixing_reached, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_topk_search": OP5_SQL, "op10_mixing": mixing_sql()}
+    return {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_topk_search": OP5_SQL, "op10_mixing": mixing_sql(), "op10_mixing_reached": mixing_sql(reach=True)}

@@ -59,3 +59,46 @@ def test_awkward(awkward, nothing):
 def test_no_python_on_the_executors(docs):
     plan = mixing.mix(docs, targets=TARGETS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def shares(df, weight):
+    whole = df.agg(F.sum(weight)).first()[0]
+    return {dim: {r[0]: r[1] / whole for r in df.groupBy(f"m_{dim}").agg(F.sum(weight)).collect()} for dim in queries.TARGETS}
+
+
+def test_the_draw_reaches_the_targets(spark):
+    # Seven of ten texts are of the middle topic and one of the last, so at RATE the last one would be cut off at 1.
+    text = F.when(F.col("id") % 10 < 7, "middle words").when(F.col("id") % 10 < 9, "a bc de a").otherwise("considerable extraordinary")
+    lang = F.element_at(F.array(*map(F.lit, ["en", "en", "en", "de", "fr", "es"])), (F.pmod(F.hash("id"), F.lit(6)) + 1).cast("int"))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    how = {"targets": queries.TARGETS, "rate": queries.RATE, "rounds": queries.ROUNDS, "seed": queries.SEED}
+    cut = shares(mixing.mix(docs, **how), F.col("m_words") * F.col("m_p"))
+    assert abs(cut["topic"]["2"] - queries.TARGETS["topic"]["2"]) > 0.05
+    full = mixing.mix(docs, **how, reach=True)
+    assert abs(full.agg(F.max("m_p")).first()[0] - 1) < 1e-9
+    for weight, off in ((F.col("m_words") * F.col("m_p"), 1e-3), (F.when(F.col("m_kept"), F.col("m_words")), 0.03)):
+        got = shares(full, weight)
+        assert all(abs(got[dim][k] - v) < off for dim, want in queries.TARGETS.items() for k, v in want.items())
+
+
+def test_reach_on_the_tables(spark, small):
+    got = shares(mixing.celled(spark.read.parquet(f"{small}/documents.parquet")).join(queries.op10_mixing_reached(spark, small).select("doc_id", "m_p"), "doc_id"), F.col("m_words") * F.col("m_p"))
+    assert all(abs(got[dim][k] - v) < 2e-3 for dim, want in queries.TARGETS.items() for k, v in want.items())
+
+
+def test_reach_is_the_same_as_sql(spark, awkward, tmp_path):
+    awkward.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op10_mixing_reached(spark, str(tmp_path))
+    order = sorted(got.columns)
+    theirs = c.execute(queries.mixing_sql(reach=True))
+    at = [[d[0] for d in theirs.description].index(n) for n in order]
+    assert sorted(str(tuple(r[n] for n in order)) for r in got.collect()) == sorted(str(tuple(r[i] for i in at)) for r in theirs.fetchall())
+
+
+def test_reach_keeps_a_rate_that_fits(docs, nothing):
+    how = {"targets": {}, "rate": 0.001}
+    same = lambda **x: sorted((r.doc_id, r.m_p) for r in mixing.mix(docs, **how, **x).select("doc_id", "m_p").collect())
+    assert same() == same(reach=True)
+    assert mixing.mix(nothing, targets=TARGETS, reach=True).count() == 0
