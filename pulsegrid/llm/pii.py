@@ -88,8 +88,10 @@ _GLYPHS = re.compile("[" + re.escape("".join(_LIKE)) + _NOTHING + "]")
 # Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
-_SAID = re.compile(rf"\b(?:plus[ -]+)?(?:{_WORD}|[0-9])(?:(?:[ ,-]+|[ ]?(?:\.|[ ]dot[ ])[ ]?)(?:{_WORD}|[0-9]+))*?(?:(?:[ ,-]+|[ ]?(?:\.|[ ]dot[ ])[ ]?)(?:{_WORD}|[0-9]+)){{3,}}+\b", re.I)
+_SEP = r"(?:[ ,-]+|[ ]?(?:\.|[ ]dot[ ])[ ]?)"
+_SAID = re.compile(rf"\b(?:plus[ -]+)?(?:{_WORD}|[0-9])(?:{_SEP}(?:{_WORD}|[0-9]+))*?(?:{_SEP}(?:{_WORD}|[0-9]+)){{3,}}+\b", re.I)
 _SAID_PART = re.compile(rf"(?P<plus>\bplus[ -]+)|(?P<word>\b{_WORD}\b)|(?P<dot>[ ]+dot[ ]+)|(?P<gap>[ ,-]+)", re.I)
+_FOLD = str.maketrans("\u017f\u0130\u0131", "sii")  # without regard to case, patterns take these for s and i
 _HAS_WORD = re.compile(rf"\b{_WORD}\b", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"[ ]*{_OPEN}[ ]*(?:at|@)[ ]*{_CLOSE}[ ]*", re.I)
@@ -138,7 +140,7 @@ def _said(t: Rewritten) -> None:
                 edits.append((m.start(), m.end(), "" if spelled else m[0][:1].replace(",", " ")))
                 continue
             spelled = m["word"] is not None
-            edits.append((m.start(), m.end(), "+" if m["plus"] else "." if m["dot"] else _SPELLED[m[0].lower()]))
+            edits.append((m.start(), m.end(), "+" if m["plus"] else "." if m["dot"] else _SPELLED[m[0].translate(_FOLD).lower()]))
     t.put(edits)
 
 
@@ -151,7 +153,8 @@ def _at_dot(t: Rewritten) -> None:
     t.put(edits)
 
 
-_MAY = re.compile(rf"{_GLYPHS.pattern}|{_OPEN}[ ]*(?:at|@|dot|\.)[ ]*{_CLOSE}|[ ]dot[ ]|\b{_WORD}[ ,-]+(?:{_WORD}|[0-9])", re.I)
+# What any transducer changes has a match: of a run with a spelled digit, that digit and the number before or after it.
+_MAY = re.compile(rf"{_GLYPHS.pattern}|{_OPEN}[ ]*(?:at|@|dot|\.)[ ]*{_CLOSE}|[ ]dot[ ]|{_WORD}{_SEP}(?:{_WORD}|[0-9])|[0-9]{_SEP}{_WORD}", re.I)
 
 
 def detect(text: str) -> tuple[list[Span], list[Span]]:

@@ -79,3 +79,22 @@ def test_tables(awkward, nothing):
     clean = pii.redact(awkward)
     assert clean.columns == awkward.columns and clean.where("text is null").count() == 2
     assert pii.redact(nothing).count() == 0
+
+
+SAID = st.lists(st.sampled_from(["one", "two", "Zero", "oh", "nine", "ſix", "fİve", "1", "192", "014", " ", "  ", ", ", "-", ".", " . ", " dot ", " at ", "@", "plus ", "x", "com", "(", "dot", ")", "[at]", "а", "\n", "é"]), max_size=14)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(SAID)
+def test_what_fails_the_first_test_is_changed_by_no_step(pieces):
+    text = "".join(pieces)
+    t = pii.Rewritten(text)
+    for step in (pii._glyphs, pii._said, pii._at_dot):
+        step(t)
+    assert t.text == text or pii._MAY.search(text)
+
+
+@pytest.mark.parametrize(("text", "kind"), [("one.two.three.four", "ip"), ("plus 1 202 555 014 three", "phone"), ("plus 1 ſix 0 2 555 014 three", "phone")])
+def test_runs_with_one_word_or_dots(text, kind):
+    base, added = pii.detect(text)
+    assert base == [] and (0, pii.KINDS.index(kind), len(text)) in added
