@@ -88,14 +88,15 @@ _GLYPHS = re.compile("[" + re.escape("".join(_LIKE)) + _NOTHING + "]")
 # Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_SPELLED) + ")"
-_SEP = r"(?:[ ,-]+|[ ]?(?:\.|[ ]dot[ ])[ ]?)"
-_SAID = re.compile(rf"\b(?:plus[ -]+)?(?:{_WORD}|[0-9])(?:{_SEP}(?:{_WORD}|[0-9]+))*?(?:{_SEP}(?:{_WORD}|[0-9]+)){{3,}}+\b", re.I)
-_SAID_PART = re.compile(rf"(?P<plus>\bplus[ -]+)|(?P<word>\b{_WORD}\b)|(?P<dot>[ ]+dot[ ]+)|(?P<gap>[ ,-]+)", re.I)
+_SEP = r"(?:[ ,-]++|[ ]?(?:\.|[ ]dot[ ])[ ]?)"
+_NUMBER = rf"(?:{_WORD}|[0-9]++)\b"
+_SAID = re.compile(rf"\b(?:plus[ -]++)?{_NUMBER}(?:{_SEP}{_NUMBER}){{3,}}+", re.I)
+_SAID_PART = re.compile(rf"(?P<plus>\bplus[ -]+)|(?P<word>\b{_WORD}\b)|(?P<dot>[ ]+dot[ ]+)|(?P<gap>[ ,-]+)|(?P<figures>[0-9]+)", re.I)
 _FOLD = str.maketrans("\u017f\u0130\u0131", "sii")  # without regard to case, patterns take these for s and i
 _HAS_WORD = re.compile(rf"\b{_WORD}\b", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"[ ]*{_OPEN}[ ]*(?:at|@)[ ]*{_CLOSE}[ ]*", re.I)
-_DOT = re.compile(rf"[ ]*{_OPEN}[ ]*(?:dot|\.)[ ]*{_CLOSE}[ ]*", re.I)
+_AT = re.compile(rf"(?:(?<![ ])[ ]++)?{_OPEN}[ ]*(?:at|@)[ ]*{_CLOSE}[ ]*", re.I)
+_DOT = re.compile(rf"(?:(?<![ ])[ ]++)?{_OPEN}[ ]*(?:dot|\.)[ ]*{_CLOSE}[ ]*", re.I)
 # Last labels that bare words may end in.
 _TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|br|in|jp|cn|ru|pl|se|no|dk|fi|me|tv|app|dev|ai|xyz|online|site)"
 # Bare words only as a whole: local at host dot name.
@@ -129,18 +130,28 @@ def _glyphs(t: Rewritten) -> None:
 
 
 def _said(t: Rewritten) -> None:
-    """Spelled digits, in runs of four numbers or more of which one is spelled; gaps between spelled ones close."""
+    """Runs of four numbers or more: spelled digits and dots; where one is spelled, gaps after spelled ones close.
+
+    Gaps after leading numbers of several digits stay as they are: such a number need not belong to what follows.
+    """
     edits = []
     for run in _SAID.finditer(t.text):
-        if not _HAS_WORD.search(run[0]):
-            continue
-        spelled = False
+        said = _HAS_WORD.search(run[0]) is not None
+        spelled = led = False
         for m in _SAID_PART.finditer(t.text, run.start(), run.end()):
-            if m["gap"] is not None:
-                edits.append((m.start(), m.end(), "" if spelled else m[0][:1].replace(",", " ")))
+            if m["figures"] is not None:
+                led |= len(m[0]) == 1
+            elif m["dot"] is not None:
+                spelled = False
+                edits.append((m.start(), m.end(), "."))
+            elif not said:
                 continue
-            spelled = m["word"] is not None
-            edits.append((m.start(), m.end(), "+" if m["plus"] else "." if m["dot"] else _SPELLED[m[0].translate(_FOLD).lower()]))
+            elif m["gap"] is not None:
+                if led:
+                    edits.append((m.start(), m.end(), "" if spelled else m[0][:1].replace(",", " ")))
+            else:
+                led, spelled = True, m["word"] is not None
+                edits.append((m.start(), m.end(), _SPELLED[m[0].translate(_FOLD).lower()] if spelled else "+"))
     t.put(edits)
 
 

@@ -98,3 +98,24 @@ def test_what_fails_the_first_test_is_changed_by_no_step(pieces):
 def test_runs_with_one_word_or_dots(text, kind):
     base, added = pii.detect(text)
     assert base == [] and (0, pii.KINDS.index(kind), len(text)) in added
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host 192 dot 168 dot zero dot one is up", "ip", "192 dot 168 dot zero dot one"),
+        ("host 10 dot zero dot zero dot one is up", "ip", "10 dot zero dot zero dot one"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192.168.zero.one is up", "ip", "192.168.zero.one"),
+        ("call plus 44 seven nine one one one two three four five six ok", "phone", "plus 44 seven nine one one one two three four five six"),
+        ("card 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("in 2024, four one one one 1111 1111 one one one one.", "card", "four one one one 1111 1111 one one one one"),
+    ],
+)
+def test_runs_that_start_with_several_digits(text, kind, source):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.detect(text)[1]] == [(kind, source)]
+
+
+def test_broken_runs_are_linear():
+    for text in ("one " * 20_000 + "onex", "12 " * 60_000 + "12x one", "1 dot " * 30_000 + "x", "one" + " " * 100_000 + "x one two", "7," * 60_000 + "sixx"):
+        pii.detect(text)
