@@ -3,7 +3,8 @@
 Identifiers (email, ip, card, phone) are found in the text as it is; these are the base spans. Then transducers rewrite
 the text step by step: homoglyphs and full-width forms to ASCII, spelled digits to digits, at/dot disguises to @ and
 dots. Every character of the rewritten text keeps the bounds of its source, so identifiers found there map back to
-source characters. They are added where they overlap no span of their kind; base spans always stay.
+source characters. They are added where no span of their kind covers them wholly; base spans always stay, so a longer
+added span can lie over a base one.
 
 Texts that no transducer changes, nearly all, are searched once. Every pattern is linear in the text: a match can only
 start where its leading run does.
@@ -168,22 +169,30 @@ def _at_dot(t: Rewritten) -> None:
 _MAY = re.compile(rf"{_GLYPHS.pattern}|{_OPEN}[ ]*(?:at|@|dot|\.)[ ]*{_CLOSE}|[ ]dot[ ]|{_WORD}{_SEP}(?:{_WORD}|[0-9])|[0-9]{_SEP}{_WORD}", re.I)
 
 
+def _beside(base: list[Span], found: list[Span]) -> list[Span]:
+    """Of the spans found, by start and then kind, those that no other of their kind covers wholly, base ones included."""
+    out, reach, known = [], [-1 for _ in KINDS], set(base)
+    for span in sorted(known | set(found), key=lambda x: (x[0], -x[2])):
+        if span[2] > reach[span[1]]:
+            reach[span[1]] = span[2]
+            if span not in known:
+                out.append(span)
+    return sorted(out)
+
+
 def detect(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans) of a text."""
     base = find(text)
     if not _MAY.search(text):
         return base, []
     t = Rewritten(text)
+    found: list[Span] = []
     for step in (_glyphs, _said, _at_dot):
+        before = t.text
         step(t)
-    if t.text == text:
-        return base, []
-    added: list[Span] = []
-    for start, kind, end in find(t.text):
-        a, b = int(t.start[start]), int(t.end[end - 1])
-        if not any(k == kind and s < b and a < e for s, k, e in (*base, *added)):
-            added.append((a, kind, b))
-    return base, sorted(added)
+        if t.text != before:  # what one step joins to its surroundings may have stood alone after the step before
+            found += [(int(t.start[a]), k, int(t.end[b - 1])) for a, k, b in find(t.text)]
+    return base, _beside(base, found) if found else []
 
 
 def told(spans: list[Span]) -> str:

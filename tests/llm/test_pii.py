@@ -119,3 +119,22 @@ def test_runs_that_start_with_several_digits(text, kind, source):
 def test_broken_runs_are_linear():
     for text in ("one " * 20_000 + "onex", "12 " * 60_000 + "12x one", "1 dot " * 30_000 + "x", "one" + " " * 100_000 + "x one two", "7," * 60_000 + "sixx"):
         pii.detect(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "base", "added"),
+    [
+        ("jаne.doe@example.com", [(2, 0, 20)], [(0, 0, 20)]),
+        ("bob@mail.exаmple.com", [(0, 0, 11)], [(0, 0, 20)]),
+        ("ja\u200bne.doe@example.com", [(3, 0, 21)], [(0, 0, 21)]),
+        ("jane.doe@example.com sаid", [(0, 0, 20)], []),
+    ],
+)
+def test_longer_spans_stand_beside_base_ones(text, base, added):
+    assert pii.detect(text) == (base, added)
+    assert pii.redacted(text, base + added).startswith("[EMAIL]") and "@" not in pii.redacted(text, base + added) and "ja" not in pii.redacted(text, base + added)
+
+
+def test_a_later_step_takes_nothing_away():
+    text = "４111 1111 1111 1111 one two"
+    assert pii.detect(text) == ([], [(0, 2, 19)])
