@@ -292,7 +292,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     """Documents whose sets of n-word shingles have a Jaccard similarity of num / den or over, as components.
 
     Returns one row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by
-    links), n_links (links found from its set to others; those that only join what is joined already aren't sought).
+    links), n_links_found (links found from its set to others;
+    not all there are, as those that only join what is joined already aren't sought).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = table(batched(docs, partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, lead long, sigs array<long>, tags array<int>"), "sets")
@@ -342,10 +343,10 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
             links = links.unionByName(more)
             comp = table(components(known.union(edge(more))), "components")
 
-    each = edge(links).union(edge(links).select("b", "a")).groupBy(F.col("a").alias("rep_node")).agg(F.count("*").alias("n_links"))
+    each = edge(links).union(edge(links).select("b", "a")).groupBy(F.col("a").alias("rep_node")).agg(F.count("*").alias("n_links_found"))
     low = comp.select(F.col("node").alias("doc_id"), "component")
     rows = sets.select("doc_id", "n").join(low, "doc_id", "left").join(each.withColumnRenamed("rep_node", "doc_id"), "doc_id", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links_found", F.lit(0)).alias("n_links_found"))
 
 
 def dedupe(docs: DataFrame, **how) -> DataFrame:

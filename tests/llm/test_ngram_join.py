@@ -90,3 +90,11 @@ def test_dedupe_keeps_columns_and_first_ids(awkward, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert 5 not in ids and ids.count(4) == 2 and ids.count(None) == 2
     assert dedupe(nothing).count() == 0
+
+
+def test_links_are_named_as_those_found(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(3)], "doc_id long, text string")
+    got = ngram_join(docs, n=3, num=9, den=10)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links_found"]
+    assert all(r.component_id == 0 and 1 <= r.n_links_found <= 2 for r in got.collect())
