@@ -6,8 +6,10 @@ dots. Every character of the rewritten text keeps the bounds of its source, so i
 source characters. They are added where no span of their kind covers them wholly; base spans always stay, so a longer
 added span can lie over a base one.
 
-Texts that no transducer changes, nearly all, are searched once. Every pattern is linear in the text: a match can only
-start where its leading run does.
+Texts that no transducer changes, nearly all, are searched once. Each transducer reads the text once, token by token, and
+no pattern goes over a run of tokens, so time is linear in the text. Digits are known as spelled in English, German,
+French and Spanish. An address in bare words needs a known last label and a host that is no article or pronoun; prose
+that meets both ("ask at example dot com") is an address to it.
 
 Defined results: null text is as empty, without spans; redact() leaves null as null. Offsets are code points, end
 exclusive. Equal rows have equal results. Columns of any other names stay as they are. An empty table gives no rows.
@@ -60,8 +62,8 @@ def find(text: str) -> list[Span]:
                 last = m.end()
                 out.append((start, 0, last))
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split(".")):
+        for m in _IP.finditer(text) if "." in text else ():
+            if m.end() - m.start() < 16 and max(map(int, m[0].split("."))) <= 255 or all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if luhn(m[0].replace(" ", "").replace("-", "")):
@@ -80,29 +82,32 @@ _LIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I",
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z",
     "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ſ": "s", "ı": "i", "İ": "I",
     "．": ".", "。": ".", "․": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
 }
 _LIKE |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _LIKE |= {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
 _NOTHING = "​‌‍⁠﻿­"  # zero width: between characters of an identifier
 _GLYPHS = re.compile("[" + re.escape("".join(_LIKE)) + _NOTHING + "]")
-# Spelled digits.
-_SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = "(?:" + "|".join(_SPELLED) + ")"
-_SEP = r"(?:[ ,-]++|[ ]?(?:\.|[ ]dot[ ])[ ]?)"
-_NUMBER = rf"(?:{_WORD}|[0-9]++)\b"
-_SAID = re.compile(rf"\b(?:plus[ -]++)?{_NUMBER}(?:{_SEP}{_NUMBER}){{3,}}+", re.I)
-_SAID_PART = re.compile(rf"(?P<plus>\bplus[ -]+)|(?P<word>\b{_WORD}\b)|(?P<dot>[ ]+dot[ ]+)|(?P<gap>[ ,-]+)|(?P<figures>[0-9]+)", re.I)
-_FOLD = str.maketrans("\u017f\u0130\u0131", "sii")  # without regard to case, patterns take these for s and i
-_HAS_WORD = re.compile(rf"\b{_WORD}\b", re.I)
+_GLYPH_SET, _NOT_ASCII = frozenset((*_LIKE, *_NOTHING)), re.compile(r"[^\x00-\x7f]")
+# Spelled digits, in the four languages of the documents.
+_SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for +, . and @.
+_PLUS, _POINT, _AROUND = ("plus", "más", "mas"), ("dot", "punkt", "point", "punto"), ("at", "arroba", "arobase")
+# Last labels that bare words may end in, and words that are no name of a host.
+_TOP = frozenset("com org net edu gov mil int info biz io co uk us de fr es it nl eu ch at be ca au br in jp cn ru pl se no dk fi me tv app dev ai xyz online site".split())
+_NO_HOST = frozenset("the this that these those a an my your our his her its their".split())
+
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"(?:(?<![ ])[ ]++)?{_OPEN}[ ]*(?:at|@)[ ]*{_CLOSE}[ ]*", re.I)
-_DOT = re.compile(rf"(?:(?<![ ])[ ]++)?{_OPEN}[ ]*(?:dot|\.)[ ]*{_CLOSE}[ ]*", re.I)
-# Last labels that bare words may end in.
-_TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|br|in|jp|cn|ru|pl|se|no|dk|fi|me|tv|app|dev|ai|xyz|online|site)"
-# Bare words only as a whole: local at host dot name.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[ ]+at[ ]+|@)[A-Za-z0-9-]++(?:(?:[ ]+dot[ ]+|\.)[A-Za-z0-9-]++)*?[ ]+dot[ ]+(?:[A-Za-z0-9-]++(?:[ ]+dot[ ]+|\.))*?" + _TOP + r"(?![A-Za-z0-9-])", re.I)
-_BARE_PART = re.compile(r"(?P<at>[ ]+at[ ]+)|(?P<dot>[ ]+dot[ ]+)", re.I)
+_BRACKETED = re.compile(rf"{_OPEN}[ ]*(?:(?P<at>@|{'|'.join(_AROUND)})|\.|{'|'.join(_POINT)})[ ]*{_CLOSE}", re.I)
+_TOKEN = re.compile(r"\w+|\W+")
+_PIECE = re.compile(r"[A-Za-z0-9._%+-]+|@|[ ]+|[^A-Za-z0-9._%+ @-]+")
+_HOST_NAME = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\Z")
 
 
 class Rewritten:
@@ -117,56 +122,191 @@ class Rewritten:
         """Replace text[a:b], in order; what is put in has the bounds of all it stands for."""
         if not edits:
             return
-        text, start, end, at = [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
-            text += [self.text[at:a], new]
-            start += [self.start[at:a], np.full(len(new), self.start[a] if a < len(self.start) else 0)]
-            end += [self.end[at:a], np.full(len(new), self.end[b - 1] if b else 0)]
-            at = b
-        self.text, self.start, self.end = "".join(text), np.concatenate(start), np.concatenate(end)
+        a, b, new = zip(*edits, strict=True)
+        begin, stop = np.array([0, *b]), np.array([*a, len(self.text)])  # what stays, around the edits
+        size = np.empty(2 * len(edits) + 1, np.int64)
+        size[::2], size[1::2] = stop - begin, [len(x) for x in new]
+        first, last = np.empty_like(size), np.empty_like(size)
+        first[::2], first[1::2] = begin, a
+        last[::2], last[1::2] = begin, b
+        last[1::2] -= 1
+        stays = np.repeat(np.arange(len(size)) % 2 == 0, size)
+        off = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) * stays
+        self.start, self.end = self.start[np.repeat(first, size) + off], self.end[np.repeat(last, size) + off]
+        kept = [self.text[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+        self.text = "".join(x for pair in zip(kept, (*new, ""), strict=True) for x in pair)
 
 
 def _glyphs(t: Rewritten) -> None:
     t.put([(m.start(), m.end(), _LIKE.get(m[0], "")) for m in _GLYPHS.finditer(t.text)])
 
 
-def _said(t: Rewritten) -> None:
-    """Runs of four numbers or more: spelled digits and dots; where one is spelled, gaps after spelled ones close.
+class _Run:
+    """Numbers that follow each other, with what stands between them, as far as the scan has come."""
 
-    Gaps after leading numbers of several digits stay as they are: such a number need not belong to what follows.
-    """
-    edits = []
-    for run in _SAID.finditer(t.text):
-        said = _HAS_WORD.search(run[0]) is not None
-        spelled = led = False
-        for m in _SAID_PART.finditer(t.text, run.start(), run.end()):
-            if m["figures"] is not None:
-                led |= len(m[0]) == 1
-            elif m["dot"] is not None:
+    def __init__(self) -> None:
+        self.parts: list[tuple[str, int, int, str]] = []  # kind (plus, word, figures, gap, dot), bounds, what it becomes
+        self.numbers = 0
+        self.after: list[tuple[str, int, int, str]] = []  # seen after the last number, not yet part of the run
+
+    def edits(self) -> list[tuple[int, int, str]]:
+        """Of four numbers or more: spelled digits and dots; where one is spelled, gaps after spelled ones close.
+
+        Gaps after leading numbers of several digits stay as they are: such a number need not belong to what follows.
+        """
+        if self.numbers < 4:
+            return []
+        out, led, spelled = [], False, False
+        said = any(kind == "word" for kind, *_ in self.parts)
+        for kind, a, b, new in self.parts:
+            if kind == "figures":
+                led |= b - a == 1
+            elif kind == "dot":
                 spelled = False
-                edits.append((m.start(), m.end(), "."))
+                if b - a > 1:
+                    out.append((a, b, "."))
             elif not said:
                 continue
-            elif m["gap"] is not None:
+            elif kind == "gap":
                 if led:
-                    edits.append((m.start(), m.end(), "" if spelled else m[0][:1].replace(",", " ")))
+                    out.append((a, b, "" if spelled else new))
+            else:
+                led, spelled = True, kind == "word"
+                out.append((a, b, new))
+        return out
+
+
+def _said(t: Rewritten) -> None:
+    """Spelled digits to digits, in one scan: every token is read once and joins the run at hand or ends it.
+
+    Between two numbers stand spaces, commas and hyphens, or one dot, plain or as a word, with spaces around it.
+    """
+    edits: list[tuple[int, int, str]] = []
+    run = _Run()
+
+    def ended() -> None:
+        nonlocal run
+        edits.extend(run.edits())
+        run = _Run()
+
+    for m in _TOKEN.finditer(t.text):
+        a, b, x = m.start(), m.end(), m[0]
+        if x[0].isalnum() or x[0] == "_":
+            low = x.lower()
+            digit = _SPELLED.get(low)
+            if digit is not None or (x.isascii() and x.isdigit()):
+                after = run.after
+                if not run.numbers:
+                    joined = not after  # after plus and its gap, or first of all
+                elif len(after) == 1:
+                    joined = True
+                    run.parts.append(after[0])
+                else:  # one dot in all, with nothing but spaces
+                    joined = sum(p[0] == "dot" for p in after) == 1 and not any(t.text[p:q].strip(" ") for k, p, q, _ in after if k == "gap")
+                    if joined:
+                        run.parts.append(("dot", after[0][1], after[-1][2], "."))
+                if not joined:
+                    ended()
+                run.after = []
+                run.parts.append(("word", a, b, digit) if digit is not None else ("figures", a, b, ""))
+                run.numbers += 1
+            elif low in _POINT and run.numbers and len(run.after) == 1 and not t.text[run.after[0][1] : a].strip(" "):
+                run.after.append(("dot", a, b, "."))
+            else:
+                ended()
+                if low in _PLUS:
+                    run.parts.append(("plus", a, b, "+"))
+        elif not run.parts:
+            continue
+        elif run.after and run.after[-1][0] == "dot":
+            if x.strip(" "):
+                ended()
             else:
-                led, spelled = True, m["word"] is not None
-                edits.append((m.start(), m.end(), _SPELLED[m[0].translate(_FOLD).lower()] if spelled else "+"))
+                run.after.append(("gap", a, b, ""))
+        elif not x.strip(" ,-"):
+            run.after.append(("gap", a, b, x[:1].replace(",", " ")))
+        elif run.numbers and x.strip(" ") == ".":
+            run.after.append(("dot", a, b, "."))
+        else:
+            ended()
+        if run.parts and not run.numbers and run.after and run.parts[0][0] == "plus":
+            run.parts, run.after = [*run.parts, ("gap", run.after[0][1], run.after[0][2], "")], []  # the gap after plus
+    ended()
     t.put(edits)
 
 
+def _spaced(text: str, m: re.Match, low: int) -> tuple[int, int]:
+    """A match with the spaces around it, not before `low`: a run of spaces lies beside two matches at most."""
+    a, b = m.start(), m.end()
+    while a > low and text[a - 1] == " ":
+        a -= 1
+    while b < len(text) and text[b] == " ":
+        b += 1
+    return a, b
+
+
 def _at_dot(t: Rewritten) -> None:
-    t.put([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
-    t.put([(m.start(), m.end(), ".") for m in _DOT.finditer(t.text)])
-    edits = []
-    for run in _BARE.finditer(t.text):
-        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BARE_PART.finditer(t.text, run.start(), run.end())]
+    """Bracketed signs first, then bare words, as a whole only: local at host dot name.
+
+    Bare words are read in one scan of pieces. From each @ or at, host names and dots follow each other as far as they
+    go; a host that goes on past another at ends there for that one, so each piece is read twice at most.
+    """
+    edits, low = [], 0
+    for m in _BRACKETED.finditer(t.text):
+        a, b = _spaced(t.text, m, low)
+        low = b
+        edits.append((a, b, "@" if m["at"] else "."))
+    t.put(edits)
+    pieces = [(m[0], m.start(), m.end()) for m in _PIECE.finditer(t.text)]
+    edits, i = [], 1
+    gap = lambda k: k < len(pieces) and pieces[k][0][0] == " "
+    word = lambda k: pieces[k][0].lower() if k < len(pieces) else ""
+    name = lambda k: k < len(pieces) and _HOST_NAME.match(pieces[k][0].rstrip(".")) is not None
+    local = lambda k: k >= 0 and pieces[k][0][0] in _LOCAL
+    while i < len(pieces):
+        if pieces[i][0] == "@" and local(i - 1):
+            at, host = (pieces[i][1], pieces[i][2]), i + 1
+        elif word(i) in _AROUND and gap(i - 1) and gap(i + 1) and local(i - 2):
+            at, host = (pieces[i - 1][1], pieces[i + 1][2]), i + 2
+        else:
+            i += 1
+            continue
+        found, dots, k = None, [], host
+        while name(k) and (dots or word(k) not in _NO_HOST):
+            if dots and word(k).rstrip(".").rsplit(".")[-1] in _TOP:
+                found = (k, len(dots))
+            if not (gap(k + 1) and word(k + 2) in _POINT and gap(k + 3)) or pieces[k][0][-1] == ".":
+                break
+            dots.append((pieces[k + 1][1], pieces[k + 3][2]))
+            k += 4
+        if found:
+            edits.append((*at, "@"))
+            edits += [(a, b, ".") for a, b in dots[: found[1]]]
+            i = found[0] + 1
+        else:
+            i += 1
     t.put(edits)
 
 
-# What any transducer changes has a match: of a run with a spelled digit, that digit and the number before or after it.
-_MAY = re.compile(rf"{_GLYPHS.pattern}|{_OPEN}[ ]*(?:at|@|dot|\.)[ ]*{_CLOSE}|[ ]dot[ ]|{_WORD}{_SEP}(?:{_WORD}|[0-9])|[0-9]{_SEP}{_WORD}", re.I)
+# What any transducer changes has a match in the text in lower case: of a run with a spelled digit, that digit and the
+# number before or after it.
+_WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
+_GAP = rf"(?:[ ,-]++|[ ]*+(?:\.|(?:{'|'.join(_POINT)})[ ])[ ]*+)"
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MAY_BRACKET = re.compile(rf"{_OPEN}[ ]*+(?:@|\.|{'|'.join((*_AROUND, *_POINT))})[ ]*+{_CLOSE}")
+_MAY_POINT = re.compile(rf"[ ](?:{'|'.join(_POINT)})[ ]")
+_MAY_SAID = re.compile(rf"\b{_WORD}{_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}{_WORD}\b")
+_DIGIT_WORDS = frozenset(_SPELLED)
+_SPACED = tuple(f" {x} " for x in _POINT)
+
+
+def _may(text: str) -> bool:
+    if not text.isascii() and not _GLYPH_SET.isdisjoint(_NOT_ASCII.findall(text)):
+        return True
+    low = text.lower()
+    if any(c in low for c in "[({<") and _MAY_BRACKET.search(low) or any(c in low for c in _SPACED) and _MAY_POINT.search(low):
+        return True
+    return not _DIGIT_WORDS.isdisjoint(_LETTERS.findall(low)) and _MAY_SAID.search(low) is not None
 
 
 def _beside(base: list[Span], found: list[Span]) -> list[Span]:
@@ -183,7 +323,7 @@ def _beside(base: list[Span], found: list[Span]) -> list[Span]:
 def detect(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans) of a text."""
     base = find(text)
-    if not _MAY.search(text):
+    if not _may(text):
         return base, []
     t = Rewritten(text)
     found: list[Span] = []
