@@ -7,8 +7,10 @@ all five filters. The feature is a perceptual hash: the picture's grey values as
 coefficients, and one bit each for being above their median.
 
 Defined results: null text counts as empty; an empty payload is padded to one row. Equal texts have equal bytes, hashes
-and features. read() raises ValueError on a damaged image; read_media() gives such an image, or null, the columns
-payload, feature null and says why in error. Other columns are ignored. An empty table gives no rows.
+and features. read() raises ValueError, and nothing else, on a damaged image: wrong lengths, checksums, order or kind of
+chunks, and rows that inflate to more or less than the header states. It inflates no more than that, and no image of more
+than LIMIT bytes (what a binary cell can hold). read_media() gives such an image, or null, the columns payload, feature
+null and says why in error. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LEVEL = 1
+#: Bytes of rows in an image: no binary cell holds more.
+LIMIT = 2**31 - 1
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -100,34 +104,51 @@ def read(png: bytes) -> tuple[np.ndarray, int]:
     """The rows of samples of an 8-bit PNG without interlacing, and samples a pixel; ValueError where it is damaged."""
     if png[:8] != _SIGNATURE:
         raise ValueError("no PNG signature")
-    at, head, body, ended = 8, None, [], False
-    while at < len(png) and not ended:
+    at, head, body, kind = 8, None, [], b""
+    while kind != b"IEND":
         if at + 12 > len(png):
             raise ValueError("cut off in a chunk")
         (size,) = struct.unpack_from(">I", png, at)
-        kind, data = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
         if at + 12 + size > len(png):
             raise ValueError("cut off in a chunk")
+        kind, data = png[at + 4 : at + 8], png[at + 8 : at + 8 + size]
         if zlib.crc32(data, zlib.crc32(kind)) != struct.unpack_from(">I", png, at + 8 + size)[0]:
             raise ValueError("checksum of a chunk")
+        if (kind == b"IHDR") != (at == 8):
+            raise ValueError("header not first, or repeated")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("length of the header")
             head = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             body.append(data)
-        ended = kind == b"IEND"
+        elif kind not in (b"IEND", b"PLTE") and not kind[0] & 32:
+            raise ValueError("unknown chunk that can't be passed over")
         at += 12 + size
-    if head is None or not ended:
-        raise ValueError("chunks are missing")
+    if at != len(png):
+        raise ValueError("bytes after the end")
     width, height, depth, colour, *rest = head
     samples = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or samples is None or any(rest):
         raise ValueError("not an 8-bit image without interlacing")
+    stated = height * (width * samples + 1)
+    if not width or not height or stated > LIMIT:
+        raise ValueError("size of the image")
+    inflate = zlib.decompressobj()
     try:
-        lines = zlib.decompress(b"".join(body))
+        lines = inflate.decompress(b"".join(body), stated + 1)
     except zlib.error as e:
         raise ValueError("deflated data") from e
-    if len(lines) != height * (width * samples + 1):
+    if len(lines) != stated:
         raise ValueError("length of the rows")
+    if not inflate.eof:
+        try:  # the end of the stream and its checksum
+            if inflate.decompress(inflate.unconsumed_tail, 1) or not inflate.eof:
+                raise ValueError("length of the rows")
+        except zlib.error as e:
+            raise ValueError("deflated data") from e
+    if inflate.unused_data:
+        raise ValueError("bytes after the deflated data")
     return unfilter(np.frombuffer(lines, np.uint8).reshape(height, -1), samples), samples
 
 
