@@ -13,16 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of tables that are still there, oldest first.
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary one of this machine, if Spark runs on this machine alone; else ValueError, as
+    executors would write to disks of their own.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -32,20 +39,32 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it.
 
     The lineage ends there: a lost executor costs no upstream work, and later readers prune columns. The tables go
-    when the driver's Python ends.
+    when staged() is done with them, or when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
     if not _written:
-        atexit.register(_drop)
-    _written.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop() -> None:
-    while _written:
-        spark, path = _written.pop()
+        atexit.register(_drop, _written)
+    _written.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def staged(stage: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, held: tuple | None) -> tuple[DataFrame, tuple]:
+    """The rows of a stage as a table, and a handle of it; what the stage wrote on its way, and the table `held`, goes."""
+    before = list(_written)
+    out = table(stage(spark, docs, sf_dir), name)
+    mine = _written[-1]
+    used = [x for x in _written if x is held or (x not in before and x is not mine)]
+    for x in used:
+        _written.remove(x)
+    _drop(used)
+    return out, mine
+
+
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
