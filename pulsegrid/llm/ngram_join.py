@@ -36,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import batched, components, table
+from pulsegrid.llm.shared import batched, components, free, table
 from pulsegrid.llm.textkit import U, grouped, longs, mix, runs, shingles, words
 
 #: Fragments of which each counts its own partial overlaps.
 FRAGMENTS = 4
 #: Members of one hub that a task compares; more are dealt to more tasks.
 MEMBERS = 512
+#: Places in which rows of a hub of many members look up their salts.
+DEAL = 32
+#: Members of one n-gram that meet in a task at a time; more are dealt to blocks, and each two blocks meet.
+MEET = 4096
 #: A size class spans this many steps of 1 / threshold.
 STEPS = 2
 
@@ -187,15 +191,14 @@ _MET = pa.schema([("via", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())
 
 
 def _across(batches: Iterator[pa.RecordBatch], num: int, den: int, out: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, comp): all pairs of nodes of one signature that are in different components.
+    """Of rows sorted by (meet, comp): pairs of nodes of one meeting that are in different components.
 
+    A meeting is of one block, all with all, or of two, each of the one with each of the other.
     asked: on how many of their first n-grams outside of the hub's set the two must meet.
     """
-    for batch, begins, ends in grouped(batches, "sig", 1 << 22):
-        if not (begins and ends):
-            raise ValueError("an n-gram outside of a hub that over four million members have")
-        sig, comp, node, via, n, common, least = (batch[c].to_numpy() for c in ("sig", "comp", "node", "hub", "n_node", "common", "least"))
-        at = runs(sig)
+    for batch, _, _ in grouped(batches, "meet", 1 << 40):  # a meeting has two blocks at most
+        meet, comp, node, via, n, common, least, block, two = (batch[c].to_numpy(zero_copy_only=False) for c in ("meet", "comp", "node", "hub", "n_node", "common", "least", "block", "two"))
+        at = runs(meet)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if hi - lo < 2 or comp[lo] == comp[hi - 1]:
                 continue
@@ -203,12 +206,32 @@ def _across(batches: Iterator[pa.RecordBatch], num: int, den: int, out: int = 1
             for a, b in zip(inner[:-1], inner[1:], strict=True):
                 for x in range(a, b) if b < hi else ():
                     for i in range(b, hi, out):
-                        o = slice(i, min(i + out, hi))
+                        o = np.arange(i, min(i + out, hi))
+                        if two[lo]:
+                            o = o[block[o] != block[x]]
+                            if not len(o):
+                                continue
                         need = -(-num * (n[x] + n[o]) // (num + den)) - np.minimum(common[x], common[o])
                         asked = need - np.maximum(least[x], least[o]) + 1
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), via[lo])), pa.array(np.minimum(node[x], node[o])), pa.array(np.maximum(node[x], node[o])), pa.array(asked)], schema=_MET)
 
 
+def _meetings(beside: DataFrame) -> DataFrame:
+    """Rows (sig, node, comp, ...) with meet, block and two: what meets in one task.
+
+    Members of a signature that are all in one component are left out. Over MEET of them are dealt to blocks, and a
+    meeting is of one block or of two, so the rows of a task stay bounded, however many share an n-gram.
+    """
+    sizes = beside.groupBy("sig").agg(F.count("*").alias("__n"), F.min("comp").alias("__a"), F.max("comp").alias("__b"))
+    sizes = sizes.where("__a <> __b").select(F.col("sig").alias("__sig"), F.ceil(F.col("__n") / MEET).cast("int").alias("__blocks"))
+    own = F.pmod(F.hash("node"), F.col("__blocks"))
+    rows = beside.join(sizes, F.col("sig") == F.col("__sig")).withColumn("block", own)
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    rows = rows.withColumn("two", F.col("block") != F.col("__other"))
+    meet = F.xxhash64("sig", F.least("block", "__other"), F.greatest("block", "__other"))
+    return rows.withColumn("meet", meet).drop("__sig", "__blocks", "__other", "sig")
+
+
 _PARTS = pa.schema([("hub", pa.int64()), ("part", pa.int32()), ("salt", pa.int32()), ("member", pa.int8()), ("node", pa.int64()), ("n", pa.int64()), ("text", pa.int64()), ("grams", pa.binary())])
 
 
@@ -272,7 +295,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int, beside: boo
 def compared(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, lower: bool, beside: bool) -> DataFrame:
     """Candidate pairs (hub, node) with their overlaps, summed over the fragments: common, n_hub, n_node, near."""
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    member = pairs.join(salts, "hub").select("node", "hub", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).cast("tinyint").alias("member"))
+    # Only hubs of many members have more than one salt; their rows look it up in as many places.
+    deal = F.pmod(F.hash("node"), F.lit(DEAL))
+    many = salts.where("salts > 1").select(F.col("hub").alias("__hub"), "salts", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("__deal"))
+    told = pairs.select("node", "hub", deal.alias("__at")).join(many, (F.col("hub") == F.col("__hub")) & (F.col("__at") == F.col("__deal")), "left")
+    member = told.select("node", "hub", F.pmod(F.hash("node"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).cast("tinyint").alias("member"))
     hubs = salts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("tinyint").alias("member"))
     dest = member.unionByName(hubs).groupBy(F.col("node").alias("__node")).agg(F.collect_list(F.struct("hub", "salt", "member")).alias("dest"))
     # The first time many texts are asked for: they move by a sort-merge join, the same way at every size.
@@ -314,6 +341,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     kept = buckets.withColumn("rank", common).where(F.col("rank") > F.floor(F.col("tag") / 2)).withColumn("meets", met)
     ranked = kept.select("sig", "node", "n", "meets").repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "n", "node")
     stars = table(batched(ranked.select("sig", "node"), _stars, "hub long, node long").distinct(), "stars")
+    free(buckets)
     held = table(compared(docs, stars, n, num, den, lower, True), "compared")
     edge = lambda x: x.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = held.where("near").select("hub", "node")
@@ -326,7 +354,9 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     placed = placed.withColumn("least", F.greatest(F.lit(1), F.ceil(F.col("n_node") * num / F.lit(den)) - F.col("common")))
     first_ones = F.slice("beside", F.lit(1), F.greatest(F.lit(0), F.col("n_node") - F.col("common") - F.col("least") + 1).cast("int"))
     beside = placed.select("hub", "node", "comp", "n_node", "common", "least", F.explode(first_ones).alias("gram")).withColumn("sig", F.xxhash64("hub", "gram")).drop("gram")
-    met = batched(beside.repartition("sig").sortWithinPartitions("sig", "comp"), partial(_across, num=num, den=den), "via long, hub long, node long, asked long")
+    beside = table(beside, "beside")
+    meetings = _meetings(beside)
+    met = batched(meetings.repartition("meet").sortWithinPartitions("meet", "comp"), partial(_across, num=num, den=den), "via long, hub long, node long, asked long")
     met = met.groupBy("via", "hub", "node").agg(F.count("*").alias("met"), F.max("asked").alias("asked"))
     pairs = met.where("met >= asked").select("hub", "node")
     # Enough in common within the hub's set: sizes up to `most`, met by size.
@@ -337,6 +367,7 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     inside = sized.join(asking, ["hub", "size"]).where("comp <> x_comp and most >= x_size").select(F.least("node", "x").alias("hub"), F.greatest("node", "x").alias("node"))
     pairs = pairs.unionByName(inside).distinct()
     pairs = table(pairs.join(stars, ["hub", "node"], "left_anti").join(stars.toDF("node", "hub"), ["hub", "node"], "left_anti"), "pairs")
+    free(beside)
     if pairs.take(1):
         more = table(compared(docs, pairs, n, num, den, lower, False).where("near").select("hub", "node"), "links")
         if more.take(1):

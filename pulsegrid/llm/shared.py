@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Folders of tables that are still there, oldest first.
 _written: list[tuple[SparkSession, str]] = []
+#: The folder that a reader of table() reads.
+_folders: weakref.WeakKeyDictionary[DataFrame, tuple[SparkSession, str]] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,19 +50,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_drop, _written)
     _written.append((spark, folder))
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _folders[out] = _written[-1]
+    return out
 
 
-def staged(stage: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, held: tuple | None) -> tuple[DataFrame, tuple]:
-    """The rows of a stage as a table, and a handle of it; what the stage wrote on its way, and the table `held`, goes."""
-    before = list(_written)
+def free(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    done = [_folders.pop(t) for t in tables]
+    _written[:] = [x for x in _written if x not in done]
+    _drop(done)
+
+
+def staged(stage: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a stage as a table. What the stage wrote on its way goes, and docs, if it is a table of table()."""
+    before = [x for x in _written if x != _folders.get(docs)]
     out = table(stage(spark, docs, sf_dir), name)
-    mine = _written[-1]
-    used = [x for x in _written if x is held or (x not in before and x is not mine)]
-    for x in used:
-        _written.remove(x)
-    _drop(used)
-    return out, mine
+    done = [x for x in _written if x not in before and x != _folders[out]]
+    _written[:] = [x for x in _written if x not in done]
+    _drop(done)
+    return out
 
 
 def _drop(tables: list[tuple[SparkSession, str]]) -> None:
@@ -124,12 +134,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, last = table(now, "edges"), None
     for _ in range(rounds):
+        # Minima are tables of their own, so that the join with them is one that Spark can split where a node has many edges.
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        now = table(small.where("u <> v").distinct(), "edges")
+        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        lower = table(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", "m"))
+        now, before = table(small.where("u <> v").distinct(), "edges"), now
+        free(before, low, large, lower)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last:
             break

@@ -1,8 +1,11 @@
 import random
 import re
+from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
+from pulsegrid.llm import ngram_join as J
 from pulsegrid.llm.ngram_join import dedupe, ngram_join
 
 
@@ -65,6 +68,26 @@ def test_components_are_those_of_all_pairs(spark, seed, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, num, 100)
 
 
+def test_large_groups_are_dealt_to_blocks(spark, monkeypatch):
+    """Members of a hub, and of an n-gram outside of it, in small blocks: the same components."""
+    for name, n in (("MEET", 3), ("MEMBERS", 4), ("DEAL", 2)):
+        monkeypatch.setattr(J, name, n)
+    rows = corpus(4)
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=2, num=70, den=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 70, 100)
+
+
+def test_each_two_members_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "MEET", 5)
+    rows = [("s", i, i % 7, 1, 10, 5, 1) for i in range(40)] + [("t", i, 3, 1, 10, 5, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "sig string, node long, comp long, hub long, n_node long, common long, least long").withColumn("sig", F.xxhash64("sig"))
+    met = J._meetings(df)
+    assert met.groupBy("meet").count().agg(F.max("count")).first()[0] < 25
+    pairs = J.batched(met.repartition("meet").sortWithinPartitions("meet", "comp"), partial(J._across, num=8, den=10), "via long, hub long, node long, asked long")
+    got = sorted((r.hub, r.node) for r in pairs.collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 7 != b % 7]
+
+
 def test_repeated_rows_count_once(spark):
     """A pair a little under the threshold stays apart, however often its rows are repeated."""
     base = [f"w{i}" for i in range(60)]
