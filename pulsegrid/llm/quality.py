@@ -11,7 +11,8 @@ The table of word vectors has a fixed size (BUCKETS x WIDTH) whatever the corpus
 at most `rows` labelled documents, those of the smallest hashes of doc_id. All else runs over all documents.
 
 Defined results: null text is as empty; an empty text has the zero vector and so a score as well. Rows without label
-train nothing; of rows that repeat a doc_id in labels, the largest counts. Without labelled rows of both kinds all
+train nothing; of rows that repeat a doc_id in labels, the largest counts, and of those that repeat one in documents the
+smallest text trains. Without labelled rows of both kinds all
 scores are the share of ones, or 0.5. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -158,6 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, *, rows: int
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", "label")
+    # One row a doc_id, so that the bound holds however often one repeats.
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     got = batched(texts, partial(_pool, vectors=vectors), "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, WIDTH), np.float32)
     return fit(x.astype(np.float64), got["label"].to_numpy().astype(np.int64))

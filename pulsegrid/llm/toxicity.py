@@ -4,21 +4,23 @@ probabilities of the categories before it.
 Texts are seen as sets of features: words, their first 4, 5 and 6 bytes, and the last 2 bytes of what stands between
 spaces, hashed into a fixed number of buckets. The features that tell most about a category (chi squared) are chosen, a
 fixed number for each. A category's model is linear (logistic, L2). What later models see of earlier categories are
-out-of-fold probabilities: each row's come from models fitted without its fold, so that later models learn how far the
-earlier ones can be relied on. For new texts the models fitted on all rows run in the same order.
+out-of-fold probabilities: each row's come from models fitted without its fold, on features that were chosen without its
+fold too, so that later models learn how far the earlier ones can be relied on. For new texts the models fitted on all
+rows run in the same order.
 
 Models are fitted on at most `rows` labelled documents, those of the smallest hashes of doc_id: a bounded sample, on
-the driver. Counts for the choice of features are made on the executors. Everything else runs over all documents.
+the driver, one row a doc_id. Counts for the choice of features are made on the executors, by fold. Everything else runs
+over all documents.
 
 Defined results: null text is as empty. A category's label is null where its column is null: such rows don't train it.
 Without labelled rows of both kinds a category's probability is the share of ones (0 without any). Of rows that repeat
-a doc_id in labels, ones win. Columns of any other names stay as they are. An empty table gives no rows.
+a doc_id in labels, ones win; of rows that repeat one in documents, the smallest text trains and all are scored. Columns of any other names stay as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,20 +54,22 @@ def _features(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]
 
 
 def _count(batches: Iterator[pa.RecordBatch], categories: int) -> Iterator[pa.RecordBatch]:
-    """How many documents, and how many of each category, have each feature."""
-    total = np.zeros((1 + 2 * categories, BUCKETS), np.int32)
-    names = ["feature", *(f"c{i}" for i in range(1 + 2 * categories))]
+    """By fold, how many documents, and how many of each category, have each feature."""
+    total = np.zeros((FOLDS, 1 + 2 * categories, BUCKETS), np.int32)
+    names = ["fold", "feature", *(f"c{i}" for i in range(1 + 2 * categories))]
     for batch in batches:
         labels = [batch[f"l{i}"].fill_null(-1).to_numpy(zero_copy_only=False) for i in range(categories)]
+        fold = batch["fold"].to_numpy()
         for at, row, bucket in _features(batch["text"]):
             pair = np.unique(row.astype(np.int64) * BUCKETS + bucket.astype(np.int64))
             row, bucket = pair // BUCKETS + at.start, pair % BUCKETS
-            np.add.at(total[0], bucket, 1)
+            np.add.at(total, (fold[row], 0, bucket), 1)
             for i, y in enumerate(labels):
-                np.add.at(total[1 + 2 * i], bucket[y[row] >= 0], 1)
-                np.add.at(total[2 + 2 * i], bucket[y[row] == 1], 1)
-    used = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c[used].astype(np.int64)) for c in total)], names=names)
+                for place, hit in ((1 + 2 * i, y[row] >= 0), (2 + 2 * i, y[row] == 1)):
+                    np.add.at(total, (fold[row[hit]], place, bucket[hit]), 1)
+    for f in range(FOLDS):
+        used = np.flatnonzero(total[f, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), f, np.int32)), pa.array(used), *(pa.array(c[used].astype(np.int64)) for c in total[f])], names=names)
 
 
 def _vectors(column: pa.Array, place: np.ndarray, width: int) -> np.ndarray:
@@ -135,27 +139,33 @@ class Chain:
         return np.stack(out, 1) if out else np.zeros((len(x), 0))
 
 
-def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray) -> Chain:
-    """labels: a column a category in the chain's order, -1 for unknown. Rows come in a fixed order."""
-    fold = np.arange(len(x)) % FOLDS
-    known, weights = x.astype(np.float64), []
+def fit_chain(features: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray | None = None, chosen: list[np.ndarray] | None = None) -> Chain:
+    """labels: a column a category in the chain's order, -1 for unknown. Rows come in a fixed order.
+
+    chosen: for each fold, the columns of x that were chosen without it, and last those chosen on all rows.
+    """
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
+    chosen = [np.ones(len(features), bool)] * (FOLDS + 1) if chosen is None else chosen
+    ahead, weights = np.zeros((len(x), 0)), []  # of the categories so far
     for y in labels.T:
         have = y >= 0
+        share = float(y[have].mean()) if have.any() else 0.0
+        found = np.full(len(x), share)
+        seen = lambda columns: np.hstack([x[:, columns].astype(np.float64), ahead])  # noqa: B023, E731
         if len(set(y[have].tolist())) < 2:
-            share = float(y[have].mean()) if have.any() else 0.0
-            w = np.zeros(known.shape[1] + 1)
+            w = np.zeros(int(chosen[-1].sum()) + ahead.shape[1] + 1)
             w[-1] = 30 if share == 1 else -30
-            weights.append(w)
-            ahead = np.full(len(x), share)
         else:
-            weights.append(fit_linear(known[have], y[have]))
-            ahead = np.empty(len(x))
+            w = fit_linear(seen(chosen[-1])[have], y[have])
             for f in range(FOLDS):
                 train, test = have & (fold != f), fold == f
-                w = fit_linear(known[train], y[train]) if train.any() else weights[-1]
-                ahead[test] = sigmoid(known[test] @ w[:-1] + w[-1])
-        known = np.hstack([known, logit(ahead)[:, None]])
-    return Chain(features, weights)
+                if train.any() and test.any():
+                    known = seen(chosen[f])
+                    v = fit_linear(known[train], y[train])
+                    found[test] = sigmoid(known[test] @ v[:-1] + v[-1])
+        weights.append(w)
+        ahead = np.hstack([ahead, logit(found)[:, None]])
+    return Chain(features[chosen[-1]], weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, rows: int = 8000) -> Chain:
@@ -168,30 +178,39 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     sample = known.orderBy(order, "__id").limit(rows)
     docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == sample["__id"]).select(F.col("__id").alias("doc_id"), "text", *names)
+    # One row a doc_id, so that the bound holds however often one repeats.
+    texts = texts.groupBy("doc_id", *names).agg(F.min("text").alias("text"))
+    texts = texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     # A table of the sample: documents are read once, and a few tasks count the features.
     texts = table(texts.repartition(SAMPLE_PARTS), "sample").coalesce(SAMPLE_PARTS)
     count = len(categories)
     cols = [f"c{i}" for i in range(1 + 2 * count)]
-    counted = batched(texts, partial(_count, categories=count), "feature long, " + ", ".join(f"{c} long" for c in cols)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in cols))
-    counted = table(counted.where("c0 >= 4"), "counts")
-    totals = texts.agg(*(F.count(n).alias(f"n{i}") for i, n in enumerate(names)), *(F.coalesce(F.sum(n), F.lit(0)).alias(f"p{i}") for i, n in enumerate(names))).first()
-    chosen: set[int] = set()
-    for i in range(count):
-        n, p = float(totals[f"n{i}"]), float(totals[f"p{i}"])
-        if not 0 < p < n:
-            continue
-        with_, one = F.col(f"c{1 + 2 * i}"), F.col(f"c{2 + 2 * i}")
-        cross = one * F.lit(n) - with_ * F.lit(p)
-        chi = cross * cross / (with_ * (F.lit(n) - with_) * F.lit(p * (n - p)))
-        best = counted.where((with_ >= 4) & (with_ < n)).orderBy(F.desc(chi), "feature").limit(CHOSEN)
-        chosen |= {r[0] for r in best.select("feature").collect()}
-    features = np.array(sorted(chosen), np.int64)
-    got = batched(texts, partial(_sample, features=features, names=["doc_id", *names]), "doc_id long, " + "".join(f"{n} int, " for n in names) + "bits binary").toPandas()
+    by_fold = batched(texts, partial(_count, categories=count), "fold int, feature long, " + ", ".join(f"{c} long" for c in cols))
+    without = lambda c, f: F.sum(F.when(F.col("fold") != f, c).otherwise(0))  # noqa: E731  (FOLDS: all)
+    counted = table(by_fold.groupBy("feature").agg(*(without(F.col(c), f).alias(f"{c}_{f}") for f in range(FOLDS + 1) for c in cols)).where(f"c0_{FOLDS} >= 4"), "counts")
+    totals = texts.agg(*(without(F.when(F.col(n).isNotNull(), 1).otherwise(0), f).alias(f"n{i}_{f}") for f in range(FOLDS + 1) for i, n in enumerate(names)), *(without(F.coalesce(n, F.lit(0)), f).alias(f"p{i}_{f}") for f in range(FOLDS + 1) for i, n in enumerate(names))).first()
+    best = []
+    for f in range(FOLDS + 1):
+        for i in range(count):
+            n, p = float(totals[f"n{i}_{f}"] or 0), float(totals[f"p{i}_{f}"] or 0)
+            if not 0 < p < n:
+                continue
+            with_, one = F.col(f"c{1 + 2 * i}_{f}"), F.col(f"c{2 + 2 * i}_{f}")
+            cross = one * F.lit(n) - with_ * F.lit(p)
+            chi = cross * cross / (with_ * (F.lit(n) - with_) * F.lit(p * (n - p)))
+            best.append(counted.where((with_ >= 4) & (with_ < n)).orderBy(F.desc(chi), "feature").limit(CHOSEN).select(F.lit(f).alias("fold"), "feature"))
+    picked: list[set[int]] = [set() for _ in range(FOLDS + 1)]
+    if best:
+        for f, feature in reduce(DataFrame.unionAll, best).collect():  # CHOSEN rows a fold and category
+            picked[f].add(feature)
+    features = np.array(sorted(set().union(*picked)), np.int64)
+    chosen = [np.isin(features, sorted(x)) for x in picked]
+    got = batched(texts, partial(_sample, features=features, names=["doc_id", "fold", *names]), "doc_id long, fold int, " + "".join(f"{n} int, " for n in names) + "bits binary").toPandas()
     got = got.sort_values(["doc_id"]).reset_index(drop=True)
     if not len(got):
         return fit_chain(features, np.zeros((0, len(features)), np.float32), np.zeros((0, count), np.int64))
     x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(features)]
-    return fit_chain(features, x.astype(np.float32), got[names].fillna(-1).to_numpy().astype(np.int64))
+    return fit_chain(features, x.astype(np.float32), got[names].fillna(-1).to_numpy().astype(np.int64), got["fold"].to_numpy(), chosen)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], chain: Chain, names: list[str]) -> Iterator[pa.RecordBatch]:

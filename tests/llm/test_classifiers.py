@@ -47,6 +47,45 @@ def test_out_of_fold():
     assert abs(chain.weights[1][60]) < 2
 
 
+def test_features_are_chosen_inside_of_each_fold(spark):
+    """Labels that are pure chance, many rare words: out-of-fold probabilities must not know them."""
+    r = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{j}" for j in r.integers(0, 400, 40))) for i in range(300)]
+    labels = [(i, int(y), int(y)) for i, y in enumerate(r.integers(0, 2, 300))]
+    chain = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {"a": F.col("quality"), "b": F.col("toxic")})
+    assert len(chain.features) == len(chain.weights[0]) - 1 == len(chain.weights[1]) - 2
+    assert chain.weights[1][len(chain.features)] < 0.3
+
+
+def test_a_repeated_id_trains_once(spark):
+    docs = [(i, "good words" if i % 2 else "scumbag words") for i in range(60)] * 1 + [(2, "scumbag words again")] * 500
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = toxicity.screened(df, labels, rows=50).collect()
+    assert len(got) == len(docs) and all(r.toxic == (r.doc_id % 2 == 0) for r in got)
+    assert quality.quality(df, labels, rows=50).count() == len(docs)
+
+
+def test_chains_against_plain_code(spark):
+    """What the executors give is the chain computed row by row from its weights and the texts' features."""
+    docs = [(i, f"text number{i % 5} of all {'scumbag' if i % 3 == 0 else 'friend'}") for i in range(80)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(df, labels, toxicity.categories())
+    place = {int(f): j for j, f in enumerate(chain.features)}
+    import pyarrow as pa
+
+    for row in toxicity.score(df, chain, ["junk", "toxic"]).collect():
+        buckets = {int(b) for _, _, found in toxicity._features(pa.array([row.text])) for b in found}
+        x = [1.0 if f in buckets else 0.0 for f in place]
+        logits = []
+        for w in chain.weights:
+            z = sum(a * b for a, b in zip(w, [*x, *logits])) + w[-1]
+            p = 1 / (1 + np.exp(-z))
+            logits.append(float(toxicity.logit(np.array(p))))
+            last = p
+        assert abs(row.p_toxic - last) < 1e-9
+
+
 def test_toxicity_awkward(awkward, nothing, labels, spark):
     for l in (labels, labels.where("false")):
         got = toxicity.screened(awkward, l).collect()
