@@ -59,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.shared import documents, staged
 
-    docs, held = documents(spark, sf_dir), None
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs, held = staged(stage, spark, docs, sf_dir, name, held)
+        docs = staged(stage, spark, docs, sf_dir, name)
     return docs
