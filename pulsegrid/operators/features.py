@@ -25,27 +25,43 @@ def delta(points: DataFrame, size: str, slide: str, keys: tuple[str, ...] = ("la
     return out.select(*(F.concat(F.lit(prefix), F.col(k)).alias(k) if k == "label" else F.col(k) for k in keys), "win_start", "ts", "seq", (F.col("value") - F.col("before")).alias("value"))
 
 
-def correlation(points: DataFrame, size: str, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+def delta_delta(points: DataFrame, size: str, slide: str, then: str | None = None, keys: tuple[str, ...] = ("label",), prefix: str = "delta") -> DataFrame:
+    """delta() of delta(): what a window gives has the window's last instant as its event time, and so falls in windows
+    of `then` (or size) each slide. ts is the later difference's own time."""
+    first = delta(points, size, slide, keys, prefix)
+    at = F.col("first_start") + F.expr(f"INTERVAL {size}") - F.expr("INTERVAL '0.000001' SECOND")
+    timed = first.withColumnsRenamed({"ts": "own", "win_start": "first_start"}).withColumns({"ts": at, "seq": F.unix_micros("first_start")})
+    by = Window.partitionBy(*keys, "win_start").orderBy("ts", "seq")
+    w = windowed(timed, then or size, slide).withColumns({"rn": F.row_number().over(by), "before": F.lag("value").over(by)})
+    return w.where(F.col("rn") == 2).select(*(F.concat(F.lit(prefix), F.col(k)).alias(k) if k == "label" else F.col(k) for k in keys), "win_start", F.col("own").alias("ts"), "seq", (F.col("value") - F.col("before")).alias("value"))
+
+
+def correlation(points: DataFrame, size: str, pairs: list[tuple[str, str]], slide: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlation (population) of two signals per window: the k-th point of one goes with the k-th of the other.
 
     What is longer is cut, but the means divide by the first signal's number of points, so unequal numbers lower the
-    result. Rows whose correlation isn't defined are left out.
+    result. Rows whose correlation isn't defined are left out. A signal may be paired with itself.
+
+    Signals stand side by side once, a row a window and place, and one aggregate has the sums of all pairs.
     """
+    labels = sorted({x for p in pairs for x in p})
     by = Window.partitionBy(*keys, "label", "win_start")
-    w = windowed(points, size).withColumns({"rn": F.row_number().over(by.orderBy("ts", "seq")), "n": F.count("*").over(by)})
-    cols = [*keys, "win_start", "rn"]
-    listed = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-    pair = w.withColumn("pair", F.explode(F.filter(listed, lambda p: (p["a"] == F.col("label")) | (p["b"] == F.col("label")))))
-    # One aggregate a pair, window and place instead of a join of two signals.
-    is_a = F.col("label") == F.col("pair.a")
-    met = pair.groupBy(*cols, F.col("pair.a").alias("a"), F.col("pair.b").alias("b")).agg(F.max(F.when(is_a, F.col("value"))).alias("x"), F.max(F.when(~is_a, F.col("value"))).alias("y"), F.max(F.when(is_a, F.col("n"))).alias("n"))
-    met = met.where("x is not null and y is not null")
-    s = met.groupBy(*keys, "win_start", "a", "b").agg(F.max("n").alias("n"), *(F.sum(e).alias(c) for c, e in {"x": F.col("x"), "y": F.col("y"), "xy": F.col("x") * F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y")}.items()))
+    w = windowed(points.where(F.col("label").isin(*labels)), size, slide).withColumns({"rn": F.row_number().over(by.orderBy("ts", "seq")), "n": F.count("*").over(by)})
+    of = lambda i, c: F.max(F.when(F.col("label") == labels[i], F.col(c)))
+    wide = w.groupBy(*keys, "win_start", "rn").agg(*(of(i, "value").alias(f"v{i}") for i in range(len(labels))), *(of(i, "n").alias(f"n{i}") for i in range(len(labels))))
+    sums = []
+    for j, (a, b) in enumerate(pairs):
+        ia, ib = labels.index(a), labels.index(b)
+        x, y = F.col(f"v{ia}"), F.col(f"v{ib}")
+        both = x.isNotNull() & y.isNotNull()
+        parts = {"n": F.max(F.when(both, F.col(f"n{ia}"))), **{k: F.sum(F.when(both, v)) for k, v in {"x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}.items()}}
+        sums.append(F.struct(F.lit(f"Corr{a}{b}").alias("label"), *(v.alias(k) for k, v in parts.items())).alias(f"p{j}"))
+    s = wide.groupBy(*keys, "win_start").agg(*sums).select(*keys, "win_start", F.explode(F.array(*(F.col(f"p{j}") for j in range(len(pairs))))).alias("p")).select(*keys, "win_start", "p.*")
     n = F.col("n")
     cov = F.col("xy") / n - F.col("x") * F.col("y") / (n * n)
     var = (F.col("xx") / n - F.col("x") * F.col("x") / (n * n)) * (F.col("yy") / n - F.col("y") * F.col("y") / (n * n))
     value = F.try_divide(cov, F.sqrt(F.when(var > 1e-9, var)))
-    return s.select(*keys, F.concat(F.lit("Corr"), "a", "b").alias("label"), "win_start", value.alias("value")).where(finite(F.col("value")))
+    return s.select(*keys, "label", "win_start", value.alias("value")).where(finite(F.col("value")))
 
 
 def multiscale_entropy(series: np.ndarray, r: float, tau: int, m_max: int) -> list[tuple[int, int, float]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def consistent_rate(df: DataFrame, key: str, rate: str, *order: str) -> DataFram
 
 def missing_share(df: DataFrame, keys: list[str], length: Column, whole: Column) -> DataFrame:
     """100 minus the percentage of the whole that the lengths cover."""
-    return df.groupBy(*keys).agg(F.round(100 - F.sum(length) * 100 / F.max(whole), 6).alias("missing_pct"))
+    return df.groupBy(*keys).agg((100 - F.sum(length) * 100 / F.max(whole)).alias("missing_pct"))
 
 
 def all_there(names: Column, required: list[str]) -> Column:
@@ -56,7 +58,18 @@ def reformat(df: DataFrame, ts: str, columns: list[str]) -> DataFrame:
 
 
 def rmse(a: DataFrame, b: DataFrame, on: list[str], x: str, y: str, keys: list[str]) -> DataFrame:
-    return a.join(b, on).groupBy(*keys).agg(F.round(F.sqrt(F.avg(F.pow(F.col(x) - F.col(y), 2))), 6).alias("rmse"))
+    return a.join(b, on).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(x) - F.col(y), 2))).alias("rmse"))
+
+
+def rmse_table(truth: DataFrame, guesses: dict[str, DataFrame], on: list[str], value: str, share: str) -> DataFrame:
+    """One row a share of missing values, a column a method: the error of each method's values against the truth.
+
+    truth and every guess have the columns `on`, value; guesses have `share` too. What a method gives no value for doesn't
+    count.
+    """
+    known = truth.select(*on, F.col(value).alias("__truth"))
+    long = [g.select(*on, share, F.col(value).alias("__guess")).join(known, on).groupBy(share).agg(F.sqrt(F.avg(F.pow(F.col("__guess") - F.col("__truth"), 2))).alias("rmse")).withColumn("method", F.lit(name)) for name, g in guesses.items()]
+    return reduce(DataFrame.unionByName, long).groupBy(share).pivot("method", list(guesses)).agg(F.first("rmse"))
 
 
 def inject_missing(df: DataFrame, value: str, p: float, seed: int, *ids: str) -> DataFrame:

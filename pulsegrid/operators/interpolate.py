@@ -59,26 +59,30 @@ def interpolate(points: DataFrame, size: str, slide: str, steps: int, mode: str
 
 
 def weighted(points: DataFrame, size: str, slide: str, n: int, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Neighbours weighted by 2 ^ (n - d), d their distance from the window's middle in whole minutes.
+    """One point a window: keys, win_start, t, value, by neighbours weighted by 2 ^ (n - d), d their whole minutes away.
 
-    A window of n points or more gives its point number n / 2 from 0; without a neighbour on one side that side weighs
-    nothing, and without any there is no row.
+    The expected time is n / 2 minutes (a whole number) after the window's start, moved back by how far the first point is
+    off a grid of tenths of the window. A point exactly there is taken as it is. A window of n points or more gives its
+    point number n / 2 from 0. Without a neighbour on one side that side weighs nothing.
     """
     w = windowed(points, size, slide)
     by = Window.partitionBy(*keys, "win_start")
-    us = F.unix_micros("ts")
-    mid = F.unix_micros("win_start") + F.floor((F.unix_micros("win_end") - F.unix_micros("win_start")) / 2)
-    w = w.withColumns({"us": us, "mid": mid, "rn": F.row_number().over(by.orderBy("ts", "seq")) - 1})
-    order = F.struct("us", "seq")
-    agg = w.groupBy(*keys, "win_start", "mid").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("rn") == n // 2, F.col("value"))).alias("middle"),
-        F.max_by(F.when(F.col("us") < F.col("mid"), F.col("value")), F.when(F.col("us") < F.col("mid"), order)).alias("a"), F.max(F.when(F.col("us") < F.col("mid"), F.col("us"))).alias("at"),
-        F.min_by(F.when(F.col("us") >= F.col("mid"), F.col("value")), F.when(F.col("us") >= F.col("mid"), order)).alias("b"), F.min(F.when(F.col("us") >= F.col("mid"), F.col("us"))).alias("bt"),
-    )
-    weight = lambda t: F.coalesce(F.pow(F.lit(2.0), n - F.floor(F.abs(F.col(t) - F.col("mid")) / 60_000_000)), F.lit(0.0))
-    total = weight("at") + weight("bt")
-    mean = F.try_divide(weight("at") * F.coalesce("a", F.lit(0.0)) + weight("bt") * F.coalesce("b", F.lit(0.0)), total)
-    return agg.select(*keys, "win_start", F.round(F.when(F.col("n") >= n, F.col("middle")).otherwise(mean), 6).alias("value"))
+    start, step = F.unix_micros("win_start"), F.floor((F.unix_micros("win_end") - F.unix_micros("win_start")) / 1000 / 10) * 1000
+    w = w.withColumns({"us": F.unix_micros("ts"), "start": start, "step": step, "rn": F.row_number().over(by.orderBy("ts", "seq")) - 1})
+    r = F.min("us").over(by) - F.col("start")
+    off = F.when(r == 0, 0).when(r % F.col("step") > 0, r % F.col("step")).otherwise(F.col("step"))
+    w = w.withColumn("at", (F.col("start") - off + n // 2 * 60_000_000).cast("long"))
+    point, order = F.struct("us", "value"), F.struct("us", "seq")
+    when = lambda c, x: F.when(c, x)
+    before, here, after = F.col("us") < F.col("at"), F.col("us") == F.col("at"), F.col("us") > F.col("at")
+    agg = w.groupBy(*keys, "win_start", "at").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("rn") == n // 2, point)).alias("middle"), F.min_by(when(here, point), when(here, order)).alias("here"),
+        F.max_by(when(before, point), when(before, order)).alias("a"), F.min_by(when(after, point), when(after, order)).alias("b"),
+    )
+    weight = lambda x: F.coalesce(F.pow(F.lit(2.0), n - F.floor(F.abs(F.col(f"{x}.us") - F.col("at")) / 60_000_000)), F.lit(0.0))
+    mean = F.try_divide(weight("a") * F.coalesce("a.value", F.lit(0.0)) + weight("b") * F.coalesce("b.value", F.lit(0.0)), weight("a") + weight("b"))
+    full = F.when(F.col("n") >= n, F.col("middle"))
+    return agg.select(*keys, "win_start", F.timestamp_micros(F.coalesce(full["us"], F.col("at"))).alias("t"), F.coalesce(full["value"], F.col("here.value"), mean).alias("value"))
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: float) -> float:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,18 @@ def sequences(df: DataFrame, key: str, value: str, label: str, length: int, *ord
     return out.where((F.size("seq_values") == length) & ((F.col("rn") - 1) % stride == 0)).select(key, "rn", "seq_values", F.col(label).alias("target"))
 
 
+def labelled(df: DataFrame, score: str, threshold: float, key: str, names: tuple[str, str] = ("shock", "Nonshock")) -> DataFrame:
+    """df with label (the first name where the score is over the threshold, else the second) and a 0/1 column a name.
+
+    A key whose rows all have one label counts as all of the second name in the 0/1 columns, whichever label it is.
+    """
+    yes, no = names
+    hit = F.coalesce(F.col(score) > threshold, F.lit(False))
+    by = Window.partitionBy(key)
+    both = F.min(hit.cast("int")).over(by) != F.max(hit.cast("int")).over(by)
+    return df.withColumns({"label": F.when(hit, yes).otherwise(no), yes: (hit & both).cast("int"), no: (~hit | ~both).cast("int")})
+
+
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as (x - mean) / population deviation over the table; a deviation of 0 counts as 1."""
     stats = df.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns))
@@ -36,8 +49,7 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     c = lambda a, b: F.count(F.when((y == a) & (p == b), 1))
     out = df.agg(c(1, 1).alias("tp"), c(0, 1).alias("fp"), c(0, 0).alias("tn"), c(1, 0).alias("fn"))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    r = lambda x: F.round(x, 6)
-    return out.select("tp", "fp", "tn", "fn", r(F.try_divide(tp + tn, tp + fp + tn + fn)).alias("accuracy"), r((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced"), r(F.try_divide(tp, tp + fp)).alias("precision"), r(F.try_divide(tp, tp + fn)).alias("recall"))
+    return out.select("tp", "fp", "tn", "fn", F.try_divide(tp + tn, tp + fp + tn + fn).alias("accuracy"), ((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2).alias("balanced"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"))
 
 
 def auroc(df: DataFrame, truth: str, score: str, slices: int = 64) -> DataFrame:
@@ -55,7 +67,7 @@ def auroc(df: DataFrame, truth: str, score: str, slices: int = 64) -> DataFrame:
     ranked = by.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(ahead), "slice")
     ranked = ranked.withColumn("rank", F.col("ahead") + F.col("below") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    return total.select(F.round(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auroc"))
+    return total.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auroc"))
 
 
 class BiLSTM:
@@ -74,6 +86,17 @@ class BiLSTM:
         one = lambda: [r.normal(0, 0.3, (features, 4 * units)), r.normal(0, 0.3, (units, 4 * units)), np.zeros(4 * units)]
         return cls([*one(), *one(), r.normal(0, 0.3, (2 * units, classes)), np.zeros(classes)])
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BiLSTM:
+        """A trained model from an .npz file in any store that Spark reads: arrays w0 to w7 in the order of `weights`."""
+        content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+        with np.load(io.BytesIO(content), allow_pickle=False) as f:
+            return cls([f[f"w{i}"] for i in range(8)])
+
+    def save(self, path: str) -> None:
+        """The .npz file that load() reads, on the driver's disk."""
+        np.savez(path, **{f"w{i}": w for i, w in enumerate(self.weights)})
+
     @staticmethod
     def _run(x: np.ndarray, kernel: np.ndarray, recurrent: np.ndarray, bias: np.ndarray) -> np.ndarray:
         units = recurrent.shape[0]

@@ -13,7 +13,7 @@ def windowed(points: DataFrame, size: str, slide: str | None = None) -> DataFram
 
 def moving_average(points: DataFrame, size: str, slide: str | None = None, columns: tuple[str, ...] = ("value",), keys: tuple[str, ...] = ("label",)) -> DataFrame:
     """Averages per key and window, stamped with the window's end."""
-    return points.groupBy(*keys, F.window("ts", size, slide).alias("w")).agg(*(F.round(F.avg(c), 6).alias(f"avg_{c}") for c in columns)).select(*keys, F.col("w.end").alias("t"), *(f"avg_{c}" for c in columns))
+    return points.groupBy(*keys, F.window("ts", size, slide).alias("w")).agg(*(F.avg(c).alias(f"avg_{c}") for c in columns)).select(*keys, F.col("w.end").alias("t"), *(f"avg_{c}" for c in columns))
 
 
 def count_trigger(points: DataFrame, size: str, n: int, keys: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -24,7 +24,7 @@ def count_trigger(points: DataFrame, size: str, n: int, keys: tuple[str, ...] =
     by = Window.partitionBy(*keys, "win_start")
     run = by.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     w = windowed(points, size).withColumns({"fired_at": F.row_number().over(by.orderBy("ts", "seq")), "sum_v": F.sum("value").over(run), "t": F.max("ts").over(run)})
-    return w.where(F.col("fired_at") % n == 0).select(*keys, "win_start", "fired_at", F.round("sum_v", 6).alias("sum_v"), "t")
+    return w.where(F.col("fired_at") % n == 0).select(*keys, "win_start", "fired_at", "sum_v", "t")
 
 
 def trailing(points: DataFrame, span_seconds: int, keys: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -38,5 +38,5 @@ def trailing(points: DataFrame, span_seconds: int, keys: tuple[str, ...] = ("lab
     p = p.withColumn("__slice", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
     over = Window.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-(span - 1), 0)
     v: Column = F.col("value")
-    stats = {"mean_v": F.round(F.avg(v).over(over), 6), "std_v": F.round(F.stddev_samp(v).over(over), 6), "min_v": F.min(v).over(over), "max_v": F.max(v).over(over)}
+    stats = {"mean_v": F.avg(v).over(over), "std_v": F.stddev_samp(v).over(over), "min_v": F.min(v).over(over), "max_v": F.max(v).over(over)}
     return p.withColumns(stats).where("__slice = __own").select(*keys, "seq", "ts", *stats)

@@ -80,3 +80,17 @@ def hourly_score_grid(spark, sf_dir):
 @query("onset_first_hour", f"{HOURS}, b AS (SELECT entity, hr, score, first_value(score) OVER (PARTITION BY entity ORDER BY hr) AS base FROM t) SELECT entity, min(hr)::INTEGER AS onset_hr FROM b WHERE score - base >= 2 GROUP BY 1")
 def onset_first_hour(spark, sf_dir):
     return severity.onset(severity.signal_scores(signals(spark, sf_dir)), "entity", "hr", "score", 2).select("entity", F.col("hr").alias("onset_hr"))
+
+
+#: As HOURS, over each entity's entire stay.
+ENTIRE = HOURS.replace("min(ts) AS start FROM events", "min(ts) AS start, greatest(1, round((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 3600))::BIGINT AS hours FROM events").replace("unnest(range(72))", "unnest(range(hours))")
+
+
+@query("hourly_score_entire", f"{ENTIRE} SELECT entity, hr::INTEGER AS hr, s_view, s_click, s_error, score FROM t")
+def hourly_score_entire(spark, sf_dir):
+    return severity.signal_scores(signals(spark, sf_dir), None)
+
+
+@query("onset_entire", f"{ENTIRE}, b AS (SELECT entity, hr, score, first_value(score) OVER (PARTITION BY entity ORDER BY hr) AS base FROM t) SELECT entity, min(hr)::INTEGER AS onset_hr FROM b WHERE score - base >= 2 GROUP BY 1")
+def onset_entire(spark, sf_dir):
+    return severity.onset(severity.signal_scores(signals(spark, sf_dir), None), "entity", "hr", "score", 2).select("entity", F.col("hr").alias("onset_hr"))

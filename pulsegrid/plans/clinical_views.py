@@ -60,9 +60,36 @@ LABS = (
     Measure("BUN", (51006,), 0, 300, True),
     Measure("WBC", (51300, 51301), 0, 1000, True),
 )
-GAS_NAMES = (
-    "SPECIMEN AADO2 BASEEXCESS BICARBONATE TOTALCO2 CARBOXYHEMOGLOBIN CHLORIDE - CALCIUM GLUCOSE HEMATOCRIT HEMOGLOBIN INTUBATED LACTATE METHEMOGLOBIN O2FLOW FIO2 SO2 PCO2 PEEP PH PO2 POTASSIUM REQUIREDO2 SODIUM TEMPERATURE TIDALVOLUME VENTILATIONRATE VENTILATOR"
-).split()  # of items 50800 and up
+GASES = (
+    Measure("SPECIMEN", (50800,)),
+    Measure("AADO2", (50801,)),
+    Measure("BASEEXCESS", (50802,)),
+    Measure("BICARBONATE", (50803,)),
+    Measure("TOTALCO2", (50804,)),
+    Measure("CARBOXYHEMOGLOBIN", (50805,)),
+    Measure("CHLORIDE", (50806,)),
+    Measure("CALCIUM", (50808,)),
+    Measure("GLUCOSE", (50809,)),
+    Measure("HEMATOCRIT", (50810,)),
+    Measure("HEMOGLOBIN", (50811,)),
+    Measure("INTUBATED", (50812,)),
+    Measure("LACTATE", (50813,)),
+    Measure("METHEMOGLOBIN", (50814,)),
+    Measure("O2FLOW", (50815,)),
+    Measure("FIO2", (50816,)),
+    Measure("SO2", (50817,)),
+    Measure("PCO2", (50818,)),
+    Measure("PEEP", (50819,)),
+    Measure("PH", (50820,)),
+    Measure("PO2", (50821,)),
+    Measure("POTASSIUM", (50822,)),
+    Measure("REQUIREDO2", (50823,)),
+    Measure("SODIUM", (50824,)),
+    Measure("TEMPERATURE", (50825,)),
+    Measure("TIDALVOLUME", (50826,)),
+    Measure("VENTILATIONRATE", (50827,)),
+    Measure("VENTILATOR", (50828,)),
+)
 GAS_LIMITS = {"HEMATOCRIT": (0, 100), "FIO2": (20, 100), "SO2": (0, 100), "O2FLOW": (0, 70), "PO2": (0, 800)}
 FIO2_FRACTION, FIO2_PLAIN, FIO2_SET = 223835, (3420, 3422), 190
 SPECIMEN_MODEL = {  # weight, mean, and what a missing value adds
@@ -137,9 +164,9 @@ def labs(stays: DataFrame, cohort: DataFrame, lab: DataFrame) -> DataFrame:
 
 def blood_gas(stays: DataFrame, cohort: DataFrame, lab: DataFrame) -> DataFrame:
     """Values of one blood gas per stay and time; SPECIMEN is text."""
-    place = F.col("itemid") - 50800
-    rows = lab.where(place.between(0, len(GAS_NAMES) - 1) | (F.col("itemid") == 51545))
-    label = F.try_element_at(F.array(*map(F.lit, GAS_NAMES)), (place + 1).cast("int"))
+    item = F.col("itemid")
+    rows = lab.where(item.between(50800, 50828) | (item == 51545))  # items of no label keep their times too
+    label = F.coalesce(*(F.when(item.isin(*m.items), m.label) for m in GASES))
     v = F.col("valuenum")
     wrong = v <= 0
     for name, (low, high) in GAS_LIMITS.items():
@@ -147,7 +174,7 @@ def blood_gas(stays: DataFrame, cohort: DataFrame, lab: DataFrame) -> DataFrame:
     rows = rows.withColumn("label", label).withColumn("valuenum", F.when(~F.coalesce(wrong, F.lit(False)), v)).select("subject_id", "hadm_id", "charttime", "label", "value", "valuenum")
     met = eligible(stays, cohort).join(rows, ["subject_id", "hadm_id"], "left")
     pick = lambda n, c: F.max(F.when(F.col("label") == n, F.col(c))).alias(n)
-    return met.groupBy(*IDS, "charttime").agg(pick("SPECIMEN", "value"), *(pick(n, "valuenum") for n in GAS_NAMES if n not in ("SPECIMEN", "-")))
+    return met.groupBy(*IDS, "charttime").agg(pick("SPECIMEN", "value"), *(pick(m.label, "valuenum") for m in GASES if m.label != "SPECIMEN"))
 
 
 def arterial(gas: DataFrame, chart: DataFrame) -> DataFrame:
@@ -157,7 +184,7 @@ def arterial(gas: DataFrame, chart: DataFrame) -> DataFrame:
     spo2 = numbered(chart.where(item.isin(646, 220277)).groupBy("icustay_id", "charttime").agg(F.max(F.when((v > 0) & (v <= 100), v)).alias("SPO2")))
     share = F.when(item == FIO2_FRACTION, F.when((v > 0) & (v <= 1), v * 100).when((v >= 21) & (v <= 100), v)).when(item.isin(*FIO2_PLAIN), v).when((item == FIO2_SET) & (v > 0.20) & (v < 1), v * 100)
     fio2 = numbered(_valid(chart).where(item.isin(FIO2_FRACTION, FIO2_SET, *FIO2_PLAIN)).groupBy("icustay_id", "charttime").agg(F.max(share).alias("FIO2_CHART")))
-    bg = gas.where("PO2 is not null").withColumn("seq", F.monotonically_increasing_id())
+    bg = gas.where("PO2 is not null").withColumn("seq", F.unix_micros("charttime"))
     for right, name, hours in ((spo2, "SPO2", 2), (fio2, "FIO2_CHART", 4)):
         bg = joins.as_of(bg, right, "icustay_id", "charttime", hours * 3600, name, "seq", "seq").withColumnRenamed(f"{name}_as_of", name).drop("matched_ts")
     total = F.lit(SPECIMEN_CONSTANT) + SPECIMEN_PO2 * F.col("PO2")
@@ -270,13 +297,13 @@ def pressors(grid: DataFrame, inputs_cv: DataFrame, inputs_mv: DataFrame, weight
 
 
 def score_events(art: DataFrame, episodes: DataFrame, vital: DataFrame, lab: DataFrame, urine: DataFrame, coma: DataFrame, drugs: DataFrame) -> DataFrame:
-    """All that the score needs, as narrow events: icustay_id, charttime, label, value."""
+    """All that the score needs, as narrow events: icustay_id, charttime, label, value. coma has gcs."""
     spans = episodes.select("icustay_id", F.col("starttime").alias("start"), F.col("endtime").alias("end"))
     gas = joins.contained(art.select("icustay_id", "charttime", "PaO2FiO2"), spans, "icustay_id", "charttime")
     one = lambda df, label, value: df.select("icustay_id", "charttime", (label if isinstance(label, Column) else F.lit(label)).alias("label"), F.col(value).cast("double").alias("value"))
     parts = [
         one(gas, F.when(F.col("start").isNotNull(), "pao2fio2_vent").otherwise("pao2fio2_novent"), "PaO2FiO2"), one(vital, "meanbp", "MeanBP_Min"), one(lab, "platelet", "PLATELET_Min"), one(lab, "bilirubin", "BILIRUBIN_Max"), one(lab, "creatinine", "CREATININE_Max"),
-        one(urine, "urine", "UrineOutput"), one(severity.gcs(coma), "gcs", "gcs"), drugs,
+        one(urine, "urine", "UrineOutput"), one(coma, "gcs", "gcs"), drugs,
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -300,13 +327,49 @@ def hourly_scores(tables: dict[str, DataFrame], *, entire_stay: bool = False) ->
         spans = chosen.where(at.isNotNull()).select("icustay_id", (at - F.expr("INTERVAL 48 HOURS")).alias("start"), F.lit(72).alias("hours"))
     grid = severity.hour_grid(spans, "icustay_id", "start", F.col("hours")).withColumn("hour", F.col("start") + F.make_dt_interval(hours=F.col("hr")))
     weight = hourly_weight(grid, chart, stays, echo(tables["notes"], cohort))
+    # Each hour is scored by itself: what is missing isn't carried over from the hour before.
+    coma = severity.gcs(severity.in_hours(coma_scores(chart), spans, "icustay_id", "charttime", "start"), ("icustay_id", "hr"))
     events = score_events(
         arterial(blood_gas(stays, cohort, tables["labs"]), chart), vent_durations(vent_settings(chart, tables["procedures"], cohort)), vitals(stays, cohort, chart), labs(stays, cohort, tables["labs"]),
-        urine_output(stays, cohort, tables["outputs"]), coma_scores(chart), pressors(grid, tables["inputs_cv"], tables["inputs_mv"], weight),
+        urine_output(stays, cohort, tables["outputs"]), coma, pressors(grid, tables["inputs_cv"], tables["inputs_mv"], weight),
     )
     return severity.hourly_sofa(spans, events, hours=F.col("hours"))
 
 
+def onsets(cohort: DataFrame, scores: DataFrame) -> DataFrame:
+    """A row a stay whose score rises by 2 over its first hour's: both scores, the parts at the onset, and its time."""
+    by = Window.partitionBy("icustay_id").orderBy("hr")
+    parts = ("respiration", "coagulation", "liver", "cardiovascular", "cns", "renal")
+    up = scores.withColumn("initial_sofa_score", F.first("sofa").over(by)).where(F.col("sofa") - F.col("initial_sofa_score") >= 2)
+    first = joins.first_row(up, "icustay_id", "hr")
+    at = (F.col("start") + F.make_dt_interval(hours=F.col("hr"))).alias("sepsis_onset_time")
+    named = first.select("icustay_id", "initial_sofa_score", F.col("sofa").alias("onsettime_sofa_score"), *(F.col(p).alias(f"onsettime_{p}") for p in parts), at)
+    return cohort.select("hadm_id", "icustay_id", "intime", "outtime").join(named, "icustay_id")
+
+
+def hourly_table(cohort: DataFrame, scores: DataFrame) -> DataFrame:
+    """The scores with what names their stay and window, one row a stay and hour."""
+    at = (F.col("start") + F.make_dt_interval(hours=F.col("hr"))).alias("calculation_time")
+    parts = ("respiration", "coagulation", "liver", "cardiovascular", "cns", "renal")
+    known = cohort.select("hadm_id", "icustay_id", "subject_id", "intime", "outtime", F.col("suspected_infection_time_poe").alias("suspection_of_infection_time"))
+    by = Window.partitionBy("icustay_id")
+    end = (F.col("start") + F.make_dt_interval(hours=F.max("hr").over(by) + 1)).alias("window_end_time")
+    return known.join(scores.select("icustay_id", F.col("start").alias("window_start_time"), end, at, F.col("sofa").alias("sofa_score"), *parts), "icustay_id")
+
+
+def materialise(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> dict[str, DataFrame]:
+    """Write derived tables as a whole, one Parquet folder each, and read them again; each is a temporary view by its name.
+
+    This stands for creating and refreshing tables and materialised views: a refresh writes all rows anew.
+    """
+    out = {}
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{path}/{name}")
+        out[name] = df.sparkSession.read.parquet(f"{path}/{name}")
+        out[name].createOrReplaceTempView(name)
+    return out
+
+
 def with_onset(cohort: DataFrame, scores: DataFrame) -> DataFrame:
     """cohort with sepsis_onset_hr: the first hour whose score is 2 over that of the first hour."""
     onset = severity.onset(scores, "icustay_id", "hr", "sofa", 2).withColumnRenamed("hr", "sepsis_onset_hr")

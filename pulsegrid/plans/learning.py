@@ -46,13 +46,13 @@ JOINED = "SELECT l.*, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS guess, n_cha
 @query("confusion_metrics", f"""WITH j AS ({JOINED}), c AS (SELECT count(*) FILTER (quality = 1 AND guess = 1) AS tp, count(*) FILTER (quality = 0 AND guess = 1) AS fp, count(*) FILTER (quality = 0 AND guess = 0) AS tn, count(*) FILTER (quality = 1 AND guess = 0) AS fn FROM j)
   SELECT *, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c""")
 def confusion_metrics(spark, sf_dir):
-    return ml.confusion(_labels(spark, sf_dir), "quality", "guess")
+    return ml.confusion(_labels(spark, sf_dir), "quality", "guess").withColumns({c: F.round(c, 6) for c in ("accuracy", "balanced", "precision", "recall")})
 
 
 @query("auroc", f"""WITH j AS ({JOINED}), r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM j),
   t AS (SELECT sum(rk) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS p, count(*) AS n FROM r) SELECT round((r - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auroc FROM t""")
 def auroc(spark, sf_dir):
-    return ml.auroc(_labels(spark, sf_dir), "quality", "n_chars")
+    return ml.auroc(_labels(spark, sf_dir), "quality", "n_chars").withColumn("auroc", F.round("auroc", 6))
 
 
 @query("class_counts", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
@@ -66,6 +66,12 @@ def one_hot(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(hit, 1).otherwise(0).alias("shock"), F.when(hit, 0).otherwise(1).alias("nonshock"))
 
 
+@query("labelled_rows", f"""WITH p AS ({POINTS}), h AS (SELECT *, value > 60 AS hit, min((value > 60)::INT) OVER w <> max((value > 60)::INT) OVER w AS two FROM p WINDOW w AS (PARTITION BY entity))
+  SELECT seq, CASE WHEN hit THEN 'shock' ELSE 'Nonshock' END AS label, (hit AND two)::INTEGER AS shock, (NOT hit OR NOT two)::INTEGER AS nonshock FROM h""")
+def labelled_rows(spark, sf_dir):
+    return ml.labelled(signals(spark, sf_dir), "value", 60, "entity").select("seq", "label", "shock", F.col("Nonshock").alias("nonshock"))
+
+
 @query("lstm_score")
 def lstm_score(spark, sf_dir):
     seqs = ml.sequences(signals(spark, sf_dir), "entity", "value", "value", 3, "ts", "seq")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import query, signals
@@ -23,24 +26,24 @@ def sliding(size_minutes: int, slide_minutes: int) -> str:
        FROM events GROUP BY 1, 2""",
 )
 def tumbling_stats(spark, sf_dir):
-    return aggregates.window_stats(signals(spark, sf_dir), "1 hour")
+    return aggregates.window_stats(signals(spark, sf_dir), "1 hour").withColumns({"mean_v": F.round("mean_v", 6), "stdev_v": F.round("stdev_v", 6)})
 
 
 @query("sliding_stats", f"""WITH {sliding(120, 30)} SELECT label, win_start, round(avg(value), 6) AS mean_v, round(stddev_pop(value), 6) AS stdev_v,
   min(value) AS min_v, max(value) AS max_v, max(ts) AS last_ts, count(*) AS n FROM w GROUP BY 1, 2""")
 def sliding_stats(spark, sf_dir):
-    return aggregates.window_stats(signals(spark, sf_dir), "120 minutes", "30 minutes")
+    return aggregates.window_stats(signals(spark, sf_dir), "120 minutes", "30 minutes").withColumns({"mean_v": F.round("mean_v", 6), "stdev_v": F.round("stdev_v", 6)})
 
 
 @query("thousand_minute_stats", """SELECT event_type AS label, time_bucket(INTERVAL 1000 MINUTE, ts, TIMESTAMP '1970-01-01') AS win_start, round(avg(value), 6) AS mean_v,
   round(stddev_pop(value), 6) AS stdev_v, min(value) AS min_v, max(value) AS max_v, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY 1, 2""")
 def thousand_minute_stats(spark, sf_dir):
-    return aggregates.window_stats(signals(spark, sf_dir), "1000 minutes")
+    return aggregates.window_stats(signals(spark, sf_dir), "1000 minutes").withColumns({"mean_v": F.round("mean_v", 6), "stdev_v": F.round("stdev_v", 6)})
 
 
 @query("moving_avg_end_ts", "SELECT event_type AS label, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS t, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2")
 def moving_avg_end_ts(spark, sf_dir):
-    return windows.moving_average(signals(spark, sf_dir), "6 hours")
+    return windows.moving_average(signals(spark, sf_dir), "6 hours").withColumns({"avg_value": F.round("avg_value", 6)})
 
 
 @query("count_trigger", f"""WITH p AS ({POINTS}), r AS (SELECT label, time_bucket(INTERVAL 6 HOUR, ts) AS win_start, ts, seq, value,
@@ -48,14 +51,14 @@ def moving_avg_end_ts(spark, sf_dir):
   FROM p WINDOW w AS (PARTITION BY label, time_bucket(INTERVAL 6 HOUR, ts) ORDER BY ts, seq))
   SELECT label, win_start, fired_at::INTEGER AS fired_at, round(sum_v, 6) AS sum_v, t FROM r WHERE fired_at % 5 = 0""")
 def count_trigger(spark, sf_dir):
-    return windows.count_trigger(signals(spark, sf_dir), "6 hours", 5)
+    return windows.count_trigger(signals(spark, sf_dir), "6 hours", 5).withColumns({"sum_v": F.round("sum_v", 6)})
 
 
 @query("rolling_trailing", f"""WITH p AS ({POINTS}) SELECT label, seq, ts, round(avg(value) OVER w, 6) AS mean_v, round(stddev_samp(value) OVER w, 6) AS std_v,
   min(value) OVER w AS min_v, max(value) OVER w AS max_v FROM p
   WINDOW w AS (PARTITION BY label ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)""")
 def rolling_trailing(spark, sf_dir):
-    return windows.trailing(signals(spark, sf_dir), 6 * 3600)
+    return windows.trailing(signals(spark, sf_dir), 6 * 3600).withColumns({"mean_v": F.round("mean_v", 6), "std_v": F.round("std_v", 6)})
 
 
 @query("missing_filter", "SELECT event_id AS seq, value FROM events WHERE value <> -1.0 AND event_type = 'view' AND value IS NOT NULL AND isfinite(value)")
@@ -116,12 +119,15 @@ for _mode in ("linear", "locf", "nocb"):
     query(f"interp_{_mode}", interpolation_sql(_mode))(_interpolated(_mode))
 
 
-@query("interp_weighted", f"""WITH {sliding(180, 180)}, o AS (SELECT *, epoch_us(ts) AS us, epoch_us(win_start) + 5400000000 AS mid, row_number() OVER (PARTITION BY label, win_start ORDER BY ts, seq) - 1 AS rn FROM w),
-  g AS (SELECT label, win_start, mid, count(*) AS n, max(value) FILTER (rn = 6) AS middle, arg_max(value, us) FILTER (us < mid) AS a, max(us) FILTER (us < mid) AS at_, arg_min(value, us) FILTER (us >= mid) AS b, min(us) FILTER (us >= mid) AS bt FROM o GROUP BY ALL),
-  h AS (SELECT *, coalesce(pow(2.0, 12 - (mid - at_) // 60000000), 0) AS wa, coalesce(pow(2.0, 12 - (bt - mid) // 60000000), 0) AS wb FROM g)
-  SELECT label, win_start, round(CASE WHEN n >= 12 THEN middle ELSE (wa * coalesce(a, 0) + wb * coalesce(b, 0)) / nullif(wa + wb, 0) END, 6) AS value FROM h""")
+# Of 180 minutes a tenth is 18; of 12 points expected, the middle is 6 minutes after the start, less the offset.
+@query("interp_weighted", f"""WITH {sliding(180, 180)}, f AS (SELECT *, epoch_us(ts) AS us, epoch_us(win_start) AS s, epoch_us(min(ts) OVER q) - epoch_us(win_start) AS r, row_number() OVER (q ORDER BY ts, seq) - 1 AS rn FROM w WINDOW q AS (PARTITION BY label, win_start)),
+  o AS (SELECT *, s + 360000000 - CASE WHEN r = 0 THEN 0 ELSE r - 1080000000 * ((r + 1080000000 - 1) // 1080000000 - 1) END AS at_ FROM f),
+  g AS (SELECT label, win_start, at_, count(*) AS n, max(value) FILTER (rn = 6) AS mv, max(us) FILTER (rn = 6) AS mt, arg_min(value, (us, seq)) FILTER (us = at_) AS hit,
+    arg_max(value, (us, seq)) FILTER (us < at_) AS a, max(us) FILTER (us < at_) AS ta, arg_min(value, (us, seq)) FILTER (us > at_) AS b, min(us) FILTER (us > at_) AS tb FROM o GROUP BY ALL),
+  h AS (SELECT *, CASE WHEN ta IS NULL THEN 0 ELSE pow(2.0, 12 - (at_ - ta) // 60000000) END AS wa, CASE WHEN tb IS NULL THEN 0 ELSE pow(2.0, 12 - (tb - at_) // 60000000) END AS wb FROM g)
+  SELECT label, win_start, make_timestamp(CASE WHEN n >= 12 THEN mt ELSE at_ END) AS t, round(CASE WHEN n >= 12 THEN mv WHEN hit IS NOT NULL THEN hit ELSE (wa * coalesce(a, 0) + wb * coalesce(b, 0)) / (wa + wb) END, 6) AS value FROM h""")
 def interp_weighted(spark, sf_dir):
-    return interpolate.weighted(signals(spark, sf_dir), "180 minutes", "180 minutes", 12)
+    return interpolate.weighted(signals(spark, sf_dir), "180 minutes", "180 minutes", 12).withColumn("value", F.round("value", 6))
 
 
 @query("interp_spline")
@@ -142,15 +148,13 @@ def delta(spark, sf_dir):
   d2 AS (SELECT 'delta' || label AS label, w2s AS win_start, value - lag(value) OVER o AS value, row_number() OVER o AS rn FROM w2 WINDOW o AS (PARTITION BY label, w2s ORDER BY ts, seq))
   SELECT label, win_start, round(value, 6) + 0.0 AS value FROM d2 WHERE rn = 2""")
 def delta_delta(spark, sf_dir):
-    # A window's result carries the window's last instant as its event time.
-    first = features.delta(signals(spark, sf_dir), "360 minutes", "60 minutes")
-    points = first.select("label", (F.col("win_start") + F.expr("INTERVAL 6 HOURS") - F.expr("INTERVAL '0.000001' SECOND")).alias("ts"), F.unix_micros("win_start").alias("seq"), "value")
-    return features.delta(points, "120 minutes", "60 minutes").select("label", "win_start", (F.round("value", 6) + 0.0).alias("value"))
+    found = features.delta_delta(signals(spark, sf_dir), "360 minutes", "60 minutes", "120 minutes")
+    return found.select("label", "win_start", (F.round("value", 6) + 0.0).alias("value"))
 
 
-def correlation_sql(labels: list[tuple[str, str]]) -> str:
+def correlation_sql(labels: list[tuple[str, str]], size: int = 1440, slide: int = 1440) -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in labels)
-    return f"""WITH {sliding(1440, 1440)}, o AS (SELECT *, row_number() OVER (PARTITION BY label, win_start ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY label, win_start) AS n FROM w),
+    return f"""WITH {sliding(size, slide)}, o AS (SELECT *, row_number() OVER (PARTITION BY label, win_start ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY label, win_start) AS n FROM w),
   s AS (SELECT x.label AS la, y.label AS lb, x.win_start, max(x.n)::DOUBLE AS n, sum(x.value) AS x, sum(y.value) AS y, sum(x.value * y.value) AS xy, sum(x.value * x.value) AS xx, sum(y.value * y.value) AS yy
   FROM (VALUES {pairs}) v(a, b) JOIN o x ON x.label = a JOIN o y ON y.label = b AND y.win_start = x.win_start AND y.rn = x.rn GROUP BY ALL),
   r AS (SELECT *, (xx / n - x * x / (n * n)) * (yy / n - y * y / (n * n)) AS var FROM s)
@@ -171,6 +175,40 @@ def corr_all_pairs(spark, sf_dir):
     return features.correlation(signals(spark, sf_dir), "1440 minutes", PAIRS).withColumn("value", F.round("value", 5))
 
 
+@query("corr_sliding", correlation_sql([("click", "view"), ("view", "error")], 720, 60))
+def corr_sliding(spark, sf_dir):
+    return features.correlation(signals(spark, sf_dir), "720 minutes", [("click", "view"), ("view", "error")], "60 minutes").withColumn("value", F.round("value", 5))
+
+
+SELF = f"""SELECT c.label, c.win_start, c.value, s.stdev_v FROM ({correlation_sql([("view", "view")], 720, 120)}) c
+  LEFT JOIN (WITH {{zscore}}, b2 AS (SELECT * FROM z WHERE z > -2 AND z < 2 AND label = 'view'),
+  w AS (SELECT b2.*, time_bucket(INTERVAL 120 MINUTE, ts, TIMESTAMP '1970-01-01') - k.k * INTERVAL 120 MINUTE AS win_start FROM b2, (SELECT unnest(range(6)) AS k) k)
+  SELECT win_start, round(stddev_pop(value), 6) AS stdev_v FROM w GROUP BY 1) s USING (win_start)""".replace("{zscore}", ZSCORE)
+
+
+@query("self_correlation", SELF)
+def self_correlation(spark, sf_dir):
+    from pulsegrid.plans.pipeline import self_correlation as run
+
+    corr, deviation = run(signals(spark, sf_dir), "view", "720 minutes", "120 minutes")
+    return corr.withColumn("value", F.round("value", 5)).join(deviation.select("win_start", F.round("stdev_v", 6).alias("stdev_v")), "win_start", "left").select("label", "win_start", "value", "stdev_v")
+
+
+@query("last_of_window", f"WITH p AS ({POINTS}) SELECT label, time_bucket(INTERVAL 6 HOUR, ts) AS win_start, max(ts) AS ts, arg_max(seq, (ts, seq)) AS seq, arg_max(value, (ts, seq)) AS value FROM p GROUP BY 1, 2")
+def last_of_window(spark, sf_dir):
+    return aggregates.last_of_window(signals(spark, sf_dir), "6 hours")
+
+
+@query("entropy_sliding", f"""WITH {sliding(1440, 360)}, o AS (SELECT label, win_start, value, row_number() OVER q AS rn, lead(value) OVER q AS nxt,
+  count(*) OVER (PARTITION BY label, win_start) AS n, stddev_pop(value) OVER (PARTITION BY label, win_start) AS sd FROM w WINDOW q AS (PARTITION BY label, win_start ORDER BY ts, seq)),
+  g AS (SELECT a.label, a.win_start, a.n - 2 AS k, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd) AS c1,
+  count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd AND abs(a.nxt - b.nxt) <= 0.2 * a.sd) AS c2
+  FROM o a JOIN o b ON a.label = b.label AND a.win_start = b.win_start AND a.rn < b.rn AND b.rn <= b.n - 2 GROUP BY ALL)
+  SELECT label, win_start, round(CASE WHEN c1 > 0 AND c2 > 0 THEN -ln(c2 / c1) ELSE ln(k * (k - 1)) END, 6) + 0.0 AS value FROM g WHERE k > 1""")
+def entropy_sliding(spark, sf_dir):
+    return features.entropy(signals(spark, sf_dir), "1440 minutes", "360 minutes", r=0.2).select("label", "win_start", (F.round("value", 6) + 0.0).alias("value"))
+
+
 @query("mse_entropy", f"""WITH {sliding(1440, 1440)}, o AS (SELECT label, win_start, value, row_number() OVER q AS rn, lead(value) OVER q AS nxt,
   count(*) OVER (PARTITION BY label, win_start) AS n, stddev_pop(value) OVER (PARTITION BY label, win_start) AS sd FROM w WINDOW q AS (PARTITION BY label, win_start ORDER BY ts, seq)),
   g AS (SELECT a.label, a.win_start, a.n - 2 AS k, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd) AS c1,
@@ -201,21 +239,38 @@ def process_signal(spark, sf_dir):
   f AS (SELECT t, {', '.join(f"max(mean_v) FILTER (label = '{k}') AS mean{k}, max(max_v) FILTER (label = '{k}') AS max{k}" for k in KINDS)} FROM s GROUP BY t)
   SELECT * FROM f WHERE {' AND '.join(f'mean{k} IS NOT NULL' for k in KINDS)}""")
 def feature_rows(spark, sf_dir):
-    s = aggregates.window_stats(signals(spark, sf_dir), "6 hours")
+    s = aggregates.window_stats(signals(spark, sf_dir), "6 hours").withColumns({"mean_v": F.round("mean_v", 6)})
     long = s.select(F.col("win_start").alias("t"), F.explode(F.array(F.struct(F.concat(F.lit("mean"), "label").alias("label"), F.col("mean_v").alias("value")), F.struct(F.concat(F.lit("max"), "label").alias("label"), F.col("max_v").alias("value")))).alias("f")).select("t", "f.*")
     return features.feature_rows(long, [f"{x}{k}" for k in KINDS for x in ("mean", "max")])
 
 
+#: The events as the six signals and the score that the feature job takes.
+NAMED = ("HR", "RESP", "ABPMean", "ABPSys", "ABPDias", "SpO2", "SOFA_SCORE")
+POINTS7 = f"SELECT [{', '.join(repr(x) for x in NAMED)}][event_id % 7 + 1] AS label, ts, value, event_id AS seq, user_id AS entity FROM events"
+SIX = NAMED[:6]
+SIX_PAIRS = [(a, b) for i, a in enumerate(SIX) for b in SIX[i + 1 :]]
+
+
+def named(spark, sf_dir):
+    return signals(spark, sf_dir).withColumn("label", F.element_at(F.array(*map(F.lit, NAMED)), (F.col("seq") % 7 + 1).cast("int")))
+
+
+def interpolated_sql(name: str, where: str) -> str:
+    """SQL of CTE `name` (label, ts, seq, value): one interpolated point a window of six hours each hour."""
+    return f"""{name}1 AS (SELECT *, epoch_us(ts) AS us, epoch_us(min(ts) OVER (PARTITION BY label, win_start)) - epoch_us(win_start) AS rel FROM w WHERE value <> -1.0 AND {where}),
+  {name}2 AS (SELECT *, epoch_us(win_start) + 10800000000 + CASE WHEN rel % 60000000 > 0 THEN rel % 60000000 WHEN rel = 0 THEN 0 ELSE 60000000 END AS ex FROM {name}1),
+  {name}3 AS (SELECT label, win_start, ex, arg_min(value, us) FILTER (us = ex) AS x, arg_max(value, us) FILTER (us < ex) AS a, (max(us) FILTER (us < ex))::DOUBLE AS at_,
+  arg_min(value, us) FILTER (us > ex) AS b, (min(us) FILTER (us > ex))::DOUBLE AS bt FROM {name}2 GROUP BY ALL),
+  {name} AS (SELECT label, make_timestamp(ex) AS ts, epoch_us(win_start) AS seq, coalesce(x, a + (ex - at_) / (bt - at_) * (b - a), a, b, 0.0) AS value FROM {name}3)"""
+
+
 def clean_sql(normalization: bool = True, interpolation: bool = True, outliers: bool = True) -> str:
-    """SQL of the cleaned signals k (label, ts, seq, value), as CTEs: six-hour windows each hour."""
+    """SQL of the cleaned signals k and the score so (label, ts, seq, value), as CTEs: six-hour windows each hour."""
+    base = sliding(360, 60).replace(POINTS, POINTS7) + ", " + interpolated_sql("so", "label = 'SOFA_SCORE'") + ", "
     if interpolation:
-        base = f"""{sliding(360, 60)}, i1 AS (SELECT *, epoch_us(ts) AS us, epoch_us(min(ts) OVER (PARTITION BY label, win_start)) - epoch_us(win_start) AS rel FROM w WHERE value <> -1.0),
-  i2 AS (SELECT *, epoch_us(win_start) + 10800000000 + CASE WHEN rel % 60000000 > 0 THEN rel % 60000000 WHEN rel = 0 THEN 0 ELSE 60000000 END AS ex FROM i1),
-  i3 AS (SELECT label, win_start, ex, arg_min(value, us) FILTER (us = ex) AS x, arg_max(value, us) FILTER (us < ex) AS a, (max(us) FILTER (us < ex))::DOUBLE AS at_,
-  arg_min(value, us) FILTER (us > ex) AS b, (min(us) FILTER (us > ex))::DOUBLE AS bt FROM i2 GROUP BY ALL),
-  c0 AS (SELECT label, make_timestamp(ex) AS ts, epoch_us(win_start) AS seq, coalesce(x, a + (ex - at_) / (bt - at_) * (b - a), a, b, 0.0) AS value FROM i3)"""
+        base += interpolated_sql("c0", "label <> 'SOFA_SCORE'")
     else:
-        base = f"c0 AS (SELECT label, ts, seq, value FROM ({POINTS}) WHERE value <> -1.0)"
+        base += "c0 AS (SELECT label, ts, seq, value FROM p WHERE value <> -1.0 AND label <> 'SOFA_SCORE')"
     if not normalization:
         return f"{base}, k AS (SELECT * FROM c0)"
     return f"""{base}, z1 AS (SELECT *, sum(value) OVER r / count(value) OVER r AS m, count(value) OVER r AS n FROM c0 WINDOW r AS (PARTITION BY label ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
@@ -229,27 +284,32 @@ def features_sql(without: str) -> str:
     ctes = [clean_sql(**flags), f"o AS (SELECT label, {day} AS win_start, ts, seq, value, row_number() OVER q AS rn, lead(value) OVER q AS nxt, count(*) OVER (PARTITION BY label, {day}) AS n, stddev_pop(value) OVER (PARTITION BY label, {day}) AS sd FROM k WINDOW q AS (PARTITION BY label, {day} ORDER BY ts, seq))"]
     parts, names = [], []
     if without != "correlation":
-        pairs = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+        pairs = ", ".join(f"('{a}', '{b}')" for a, b in SIX_PAIRS)
         ctes.append(f"""s AS (SELECT x.label AS la, y.label AS lb, x.win_start, max(x.n)::DOUBLE AS n, sum(x.value) AS x, sum(y.value) AS y, sum(x.value * y.value) AS xy, sum(x.value * x.value) AS xx, sum(y.value * y.value) AS yy
   FROM (VALUES {pairs}) v(a, b) JOIN o x ON x.label = a JOIN o y ON y.label = b AND y.win_start = x.win_start AND y.rn = x.rn GROUP BY ALL), sv AS (SELECT *, (xx / n - x * x / (n * n)) * (yy / n - y * y / (n * n)) AS var FROM s)""")
         parts.append("SELECT win_start, 'Corr' || la || lb AS name, (xy / n - x * y / (n * n)) / sqrt(var) AS v FROM sv WHERE var > 1e-9")
-        names += [f"Corr{a}{b}" for a, b in PAIRS]
+        names += [f"Corr{a}{b}" for a, b in SIX_PAIRS]
     if without != "entropy":
         ctes.append("""e AS (SELECT a.label, a.win_start, a.n - 2 AS m, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd) AS c1, count(*) FILTER (abs(a.value - b.value) <= 0.2 * a.sd AND abs(a.nxt - b.nxt) <= 0.2 * a.sd) AS c2
   FROM o a JOIN o b ON a.label = b.label AND a.win_start = b.win_start AND a.rn < b.rn AND b.rn <= b.n - 2 GROUP BY ALL)""")
         parts.append("SELECT win_start, 'Entropy' || label, CASE WHEN c1 > 0 AND c2 > 0 THEN -ln(c2 / c1) ELSE ln(m * (m - 1)) END FROM e WHERE m > 1")
-        names += [f"Entropy{x}" for x in KINDS]
+        names += [f"Entropy{x}" for x in SIX]
     if without != "other":
         ctes.append("t AS (SELECT label, win_start, stddev_pop(value) AS stdev, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM o GROUP BY 1, 2)")
-        parts += [f"SELECT win_start, '{n}' || label, {c} FROM t" for n, c in (("stdev", "round(stdev, 6)"), ("mean", "round(mean, 6)"), ("min", "lo"), ("max", "hi"))]
-        names += [f"{n}{x}" for x in KINDS for n in ("stdev", "mean", "min", "max")]
+        parts += [f"SELECT win_start, '{n}' || label, {c} FROM t" for n, c in (("stdev", "stdev"), ("mean", "mean"), ("min", "lo"), ("max", "hi"))]
+        names += [f"{n}{x}" for x in SIX for n in ("stdev", "mean", "min", "max")]
     if without != "deltas":
         ctes.append("""dw AS (SELECT k.*, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') - j.j * INTERVAL 60 MINUTE AS ws FROM k, (SELECT unnest(range(6)) AS j) j),
-  dd AS (SELECT label, ts, seq, value - lag(value) OVER q AS d, row_number() OVER q AS rn FROM dw WINDOW q AS (PARTITION BY label, ws ORDER BY ts, seq))""")
-        parts.append(f"SELECT {day}, 'delta' || label, arg_max(d, (ts, seq)) FROM dd WHERE rn = 2 GROUP BY 1, 2")
-        names += [f"delta{x}" for x in KINDS]
+  dd AS (SELECT label, ws, ts, seq, value - lag(value) OVER q AS d, row_number() OVER q AS rn FROM dw WINDOW q AS (PARTITION BY label, ws ORDER BY ts, seq)),
+  d1 AS (SELECT label, ts AS own, ws + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND AS ts, epoch_us(ws) AS seq, d FROM dd WHERE rn = 2),
+  ew AS (SELECT d1.*, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') - j.j * INTERVAL 60 MINUTE AS ws FROM d1, (SELECT unnest(range(6)) AS j) j),
+  ee AS (SELECT label, own AS ts, seq, d - lag(d) OVER q AS d, row_number() OVER q AS rn FROM ew WINDOW q AS (PARTITION BY label, ws ORDER BY ts, seq))""")
+        parts += [f"SELECT {day}, '{n}' || label, arg_max(d, (ts, seq)) FROM {t} WHERE rn = 2 GROUP BY 1, 2" for n, t in (("delta", "dd"), ("deltadelta", "ee"))]
+        names += [f"{n}{x}" for x in SIX for n in ("delta", "deltadelta")]
+    parts.append(f"SELECT {day}, 'SOFA_SCORE', arg_max(value, (ts, seq)) FROM so GROUP BY 1, 2")
+    names.append("SOFA_SCORE")
     ctes.append("f(win_start, name, v) AS (" + " UNION ALL ".join(parts) + ")")
-    wide = ", ".join(f"round(max(v) FILTER (name = '{n}'), 6) AS {n}" for n in names)
+    wide = ", ".join(f"round(max(v) FILTER (name = '{n}'), 5) + 0.0 AS {n}" for n in names)
     return f"WITH {', '.join(ctes)}, g AS (SELECT win_start, {wide} FROM f GROUP BY 1) SELECT * FROM g WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}"
 
 
@@ -257,7 +317,8 @@ def _ablation(name):
     def run(spark, sf_dir):
         from pulsegrid.plans.pipeline import generate_features
 
-        return generate_features(signals(spark, sf_dir), KINDS, without=name)
+        rows = generate_features(named(spark, sf_dir), SIX, without=name)
+        return rows.select("win_start", *((F.round(c, 5) + 0.0).alias(c) for c in rows.columns[1:]))
 
     return run
 
@@ -266,6 +327,27 @@ for _name in ("none", "deltas", "entropy", "other", "correlation", "normalizatio
     query(f"features_wo_{_name}" if _name != "none" else "features_all", features_sql(_name))(_ablation(_name))
 
 
+SCORE_ONLY = interpolated_sql("so", "label = 'SOFA_SCORE'")
+
+
+@query("process_score", f"WITH {sliding(360, 60).replace(POINTS, POINTS7)}, {SCORE_ONLY} SELECT label, ts, round(value, 6) AS value FROM so")
+def process_score(spark, sf_dir):
+    from pulsegrid.plans.pipeline import process_score as run
+
+    return run(named(spark, sf_dir), "360 minutes", "60 minutes", 360).select("label", "ts", F.round("value", 6).alias("value"))
+
+
+@query("integrated_score")
+def integrated_score(spark, sf_dir):
+    """Feature rows, windows of three days each day, and the recurrent scorer (of seeded weights)."""
+    from pulsegrid.operators import ml
+    from pulsegrid.plans.pipeline import feature_names, generate_features, integrated
+
+    names = feature_names(SIX)
+    found = integrated(generate_features(named(spark, sf_dir), SIX), names, ml.BiLSTM.seeded(len(names) - 1, 8), "3 days", "1 day")
+    return found.withColumns({p: F.round(p, 6) for p in ("p0", "p1")})
+
+
 @query("asof_tolerance", """WITH l AS (SELECT event_id AS seq, user_id AS entity, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id AS entity, ts, value, event_id FROM events WHERE event_type = 'view')
   SELECT l.seq, CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= 172800000000 THEN r.value END AS value_as_of FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.ts >= r.ts""")
 def asof_tolerance(spark, sf_dir):
@@ -329,7 +411,7 @@ def bounded_ffill(spark, sf_dir):
 @query("missing_pct", """WITH d AS (SELECT DISTINCT user_id AS entity, date_trunc('hour', ts) AS t FROM events) SELECT entity, round(100 - sum(1) * 100 / 720.0, 6) AS missing_pct FROM d GROUP BY 1""")
 def missing_pct(spark, sf_dir):
     d = signals(spark, sf_dir).select("entity", F.date_trunc("hour", "ts").alias("t")).distinct()
-    return grids.missing_share(d, ["entity"], F.lit(1), F.lit(720.0))
+    return grids.missing_share(d, ["entity"], F.lit(1), F.lit(720.0)).withColumns({"missing_pct": F.round("missing_pct", 6)})
 
 
 @query("signals_available", "SELECT user_id AS entity, count(DISTINCT event_type) = 5 AS available FROM events GROUP BY 1")
@@ -349,6 +431,28 @@ def interpolation_rmse(spark, sf_dir):
     return grids.rmse(a, b, ["label", "win_start"], "linear", "locf", ["label"]).withColumn("rmse", F.round("rmse", 4))
 
 
+MISSING = ("0.1", "0.2", "0.4")
+
+
+def rmse_sql() -> str:
+    """Values of views go missing by the last digits of their number; what stays estimates the windows of all."""
+    part = lambda name, keep, mode: f"""{name} AS ({interpolation_sql(mode).replace(POINTS, POINTS + f" WHERE event_type = 'view' AND {keep}")})"""
+    keep = lambda m: f"event_id % 10 >= {int(float(m) * 10)}"
+    parts = [part("truth", "true", "linear")] + [part(f"{mode}{i}", keep(m), mode) for i, m in enumerate(MISSING) for mode in ("linear", "locf", "nocb")]
+    error = lambda x: f"(SELECT round(sqrt(avg(pow(g.value - t.value, 2))), 4) FROM {x} g JOIN truth t USING (label, win_start))"
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS missing, " + ", ".join(f"{error(f'{mode}{i}')} AS {mode}" for mode in ("linear", "locf", "nocb")) for i, m in enumerate(MISSING))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query("rmse_table", rmse_sql())
+def rmse_table(spark, sf_dir):
+    views = signals(spark, sf_dir).where("label = 'view'")
+    at = lambda p, mode: interpolate.interpolate(p, "180 minutes", "60 minutes", 180, mode).select("label", "win_start", F.round("value", 6).alias("value"))
+    guess = lambda mode: reduce(DataFrame.unionByName, [at(views.where(F.col("seq") % 10 >= int(float(m) * 10)), mode).withColumn("missing", F.lit(m)) for m in MISSING])
+    found = grids.rmse_table(at(views, "linear"), {m: guess(m) for m in ("linear", "locf", "nocb")}, ["label", "win_start"], "value", "missing")
+    return found.withColumns({m: F.round(m, 4) for m in ("linear", "locf", "nocb")})
+
+
 @query("consistent_rate", f"""WITH p AS ({POINTS}), f AS (SELECT *, first_value(label) OVER (PARTITION BY entity ORDER BY ts, seq) AS f FROM p) SELECT seq FROM f WHERE label = f""")
 def consistent_rate(spark, sf_dir):
     return grids.consistent_rate(signals(spark, sf_dir), "entity", "label", "ts", "seq").select("seq")

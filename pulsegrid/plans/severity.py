@@ -40,9 +40,13 @@ def onset(scores: DataFrame, key: str, hour: str, score: str, rise: int) -> Data
     return up.groupBy(key).agg(F.min(hour).alias(hour))
 
 
-def signal_scores(points: DataFrame, hours: int = 72) -> DataFrame:
-    """The hourly score of each entity's signals over its first hours, in the form of the clinical one."""
-    stays = points.groupBy("entity").agg(F.min("ts").alias("start"))
+def signal_scores(points: DataFrame, hours: int | None = 72) -> DataFrame:
+    """The hourly score of each entity's signals, in the form of the clinical one: over its first hours, or (None) over
+    all hours that it has points in, whole ones rounded as the clinical stays are."""
+    stays = points.groupBy("entity").agg(F.min("ts").alias("start"), F.max("ts").alias("__end"))
+    if hours is None:
+        hours = F.col("hours")
+        stays = stays.withColumn("hours", F.greatest(F.lit(1), F.round((F.unix_timestamp("__end") - F.unix_timestamp("start")) / 3600)).cast("int"))
     e = in_hours(points, stays, "entity", "ts", "start")
     pick = lambda k: F.when(F.col("label") == k, F.col("value"))
     agg = e.groupBy("entity", "hr").agg(F.max(pick("view")).alias("v"), F.min(pick("click")).alias("c"), F.sum(pick("error")).alias("e"))
@@ -84,13 +88,15 @@ def hourly_sofa(stays: DataFrame, events: DataFrame, *, hours: int | Column = 72
     return sofa_components(grid)
 
 
-def gcs(scores: DataFrame) -> DataFrame:
+def gcs(scores: DataFrame, keys: tuple[str, ...] = ("icustay_id",)) -> DataFrame:
     """Coma scale per (icustay_id, charttime) from motor, verbal, eyes; verbal 0 stands for an intubated patient.
 
+    Rows before are those of the same keys: with the hour among them, none of an earlier hour.
+
     Intubated: 15. Else what is missing comes from the row before, if that is less than 6 hours old; after an intubated
     row, and without any, from the defaults 6, 5 and 4.
     """
-    by = Window.partitionBy("icustay_id").orderBy("charttime")
+    by = Window.partitionBy(*keys).orderBy("charttime")
     near = F.unix_micros("charttime") - F.unix_micros(F.lag("charttime").over(by)) < 6 * 3_600_000_000
     prev = {k: F.when(near, F.lag(k).over(by)) for k in ("motor", "verbal", "eyes")}
     df = scores.withColumns({f"p_{k}": v for k, v in prev.items()})

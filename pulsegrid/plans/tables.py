@@ -22,7 +22,7 @@ def unpivot_wide(spark, sf_dir):
 @query("array_moving_avg", f"SELECT l_suppkey, time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01') + INTERVAL 30 DAY AS t, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in MEASURES)} FROM lineitem GROUP BY 1, 2")
 def array_moving_avg(spark, sf_dir):
     df = _table(spark, sf_dir, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
-    return windows.moving_average(df, "30 days", None, tuple(MEASURES), ("l_suppkey",))
+    return windows.moving_average(df, "30 days", None, tuple(MEASURES), ("l_suppkey",)).withColumns({f"avg_{c}": F.round(f"avg_{c}", 6) for c in MEASURES})
 
 
 @query("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -49,9 +49,9 @@ def left_with_predicate(spark, sf_dir):
     return c.join(o, on, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("anti_unmatched", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_unmatched", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def anti_unmatched(spark, sf_dir):
-    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    o, c = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000"), _table(spark, sf_dir, "customer")
     return c.join(o, o["o_custkey"] == c["c_custkey"], "left_anti").select("c_custkey")
 
 

@@ -66,3 +66,8 @@ def read_features(spark: SparkSession, path: str, first: int, last: int, label:
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of a database; partitioning options pass through."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Comma-separated text files, each with a header; null is empty."""
+    df.write.mode(mode).option("header", True).csv(path)

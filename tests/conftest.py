@@ -34,3 +34,11 @@ def small():
     if not os.path.isdir(SMALL):
         pytest.skip("no test tables")
     return SMALL
+
+
+@pytest.fixture(scope="session")
+def medium():
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return folder

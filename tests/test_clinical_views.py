@@ -57,3 +57,20 @@ def test_hourly_scores_and_onset(tables):
     assert (got[1].liver, got[1].renal, got[1].cardiovascular) == (3, 4, None) and got[2].cardiovascular == 3
     assert V.hourly_scores(tables).count() == 72
     assert V.with_onset(tables["cohort"], V.hourly_scores(tables)).count() == 2
+
+
+def test_the_tables_of_scores_and_onsets(spark, tables, tmp_path):
+    """One row a stay and hour, and one a stay whose score rises, written as a whole."""
+    cohort = tables["cohort"].withColumn("subject_id", F.lit(1))
+    scores = V.hourly_scores(tables, entire_stay=True)
+    made = V.materialise({"hourly": V.hourly_table(cohort, scores), "onsets": V.onsets(cohort, scores)}, str(tmp_path))
+    rows = made["hourly"].orderBy("calculation_time").collect()
+    assert [(r.calculation_time - r.intime).total_seconds() / 3600 for r in rows] == [0, 1, 2, 3, 4]
+    assert all((r.window_start_time, r.window_end_time) == (r.intime, r.outtime) and r.hadm_id == 10 for r in rows)
+    by_hand = {r.hr: r.sofa for r in scores.collect()}
+    assert [r.sofa_score for r in rows] == [by_hand[i] for i in range(5)]
+    up = [i for i in range(5) if by_hand[i] - by_hand[0] >= 2]
+    assert [r.onsettime_sofa_score for r in spark.table("onsets").collect()] == [by_hand[i] for i in up[:1]]
+    rising = scores.withColumn("sofa", F.col("hr") + F.col("sofa") - F.col("sofa"))
+    first = V.onsets(cohort, rising).collect()
+    assert [(r.initial_sofa_score, r.onsettime_sofa_score, r.sepsis_onset_time.hour) for r in first] == [(0, 2, 2)]
