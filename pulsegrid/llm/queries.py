@@ -79,7 +79,7 @@ FROM s QUALIFY rank <= 10
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(documents(spark, sf_dir), ids=False)
+    return sentencepiece_codec.encode(documents(spark, sf_dir))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,45 +98,43 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The mixture aimed at: languages and topics by share, all sources alike.
 TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"0": 0.2, "1": 0.4, "2": 0.4}}
-RATE, ROUNDS, SEED = 0.5, 12, 17
+RATE, ROUNDS, SEED = 0.5, 15, 17
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(documents(spark, sf_dir), targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED)
+    found = mixing.mix(documents(spark, sf_dir), targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED, keep=("doc_id",))
     return found.select("doc_id", "m_words", "m_topic", F.round("m_p", 9).alias("m_p"), "m_kept")
 
 
-def op10_mixing_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10_mixing at the highest rate, up to RATE, at which the draw has the targets' marginals."""
-    found = mixing.mix(documents(spark, sf_dir), targets=TARGETS, rate=RATE, rounds=ROUNDS, seed=SEED, reach=True)
-    return found.select("doc_id", "m_words", "m_topic", F.round("m_p", 9).alias("m_p"), "m_kept")
-
-
-def mixing_sql(reach: bool = False) -> str:
-    count = lambda lo: rf"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]{{{lo},}}'))"
+def mixing_sql() -> str:
     share = lambda dim: "CASE " + " ".join(f"WHEN m_{dim} = '{k}' THEN {v}" for k, v in TARGETS[dim].items()) + f" ELSE {1 / len(TARGETS[dim])!r} END" if dim in TARGETS else "1.0"
+    count = lambda i: f"len(t) - len(replace(t, '{i}', ''))"
     parts = [
-        f"a AS (SELECT doc_id, coalesce(source, '') AS m_source, coalesce(lang, '') AS m_lang, {count(1)} AS n1, {count(4)} AS n4, {count(7)} AS n7 FROM documents)",
-        "b AS (SELECT doc_id, m_source, m_lang, n1 AS m_words, CASE greatest(n1 - n4, n4 - n7, n7) WHEN n1 - n4 THEN '0' WHEN n4 - n7 THEN '1' ELSE '2' END AS m_topic FROM a)",
+        rf"w AS (SELECT doc_id, coalesce(source, '') AS m_source, coalesce(lang, '') AS m_lang, regexp_extract_all(coalesce(text, ''), '{mixing.WORD}') AS w FROM documents)",
+        f"a AS (SELECT doc_id, m_source, m_lang, len(w) AS m_words, translate(array_to_string(list_transform(list_distinct(w), lambda x: substr(md5(x), 1, 1)), ''), '{mixing.BUCKETS}', '{mixing.CENTROIDS}') AS t FROM w)",
+        f"b AS (SELECT doc_id, m_source, m_lang, m_words, CASE greatest({count(0)}, {count(1)}, {count(2)}) WHEN {count(0)} THEN '0' WHEN {count(1)} THEN '1' ELSE '2' END AS m_topic FROM a)",
         "c AS (SELECT m_source, m_lang, m_topic, sum(m_words)::DOUBLE AS total FROM b GROUP BY ALL HAVING sum(m_words) > 0)",
-        "f0 AS (SELECT *, total / sum(total) OVER () AS fit FROM c)",
     ]
     for dim in ("source", "lang", "topic"):
-        parts.append(f"t_{dim} AS (SELECT m_{dim}, s / sum(s) OVER () AS t FROM (SELECT DISTINCT m_{dim}, {share(dim)} AS s FROM c))")
+        parts.append(f"t_{dim} AS MATERIALIZED (SELECT m_{dim}, a, s / sum(s) OVER () AS t FROM (SELECT m_{dim}, sum(total) AS a, any_value({share(dim)}) AS s FROM c GROUP BY 1))")
+    least = " UNION ALL ".join(f"SELECT a / t AS x FROM t_{dim}" for dim in ("source", "lang", "topic"))
+    levels = mixing.LEVELS
+    parts.append(f"r AS MATERIALIZED (SELECT level, least({RATE}, coalesce(min(x) / (SELECT sum(total) FROM c), {RATE})) * ({levels} - level) / {levels} AS rate, (SELECT sum(total) FROM c) AS whole FROM ({least}), (SELECT unnest(range({levels})) AS level) GROUP BY level)")
+    parts.append("f0 AS MATERIALIZED (SELECT c.*, r.*, t_source.t AS t_source, t_lang.t AS t_lang, t_topic.t AS t_topic, total * rate AS fit FROM c JOIN t_source USING (m_source) JOIN t_lang USING (m_lang) JOIN t_topic USING (m_topic), r)")
     n = 0
     for _ in range(ROUNDS):
         for dim in ("source", "lang", "topic"):
-            parts.append(f"f{n + 1} AS MATERIALIZED (SELECT f.* REPLACE (fit * t / sum(fit) OVER (PARTITION BY f.m_{dim}) AS fit) FROM f{n} f JOIN t_{dim} USING (m_{dim}))")
+            parts.append(f"f{n + 1} AS MATERIALIZED (SELECT * REPLACE (least(total, fit * (t_{dim} * rate * whole) / sum(fit) OVER (PARTITION BY level, m_{dim})) AS fit) FROM f{n})")
             n += 1
-    rate = RATE
-    if reach:
-        parts.append(f"r AS (SELECT least({RATE}, 1.0 / (max(fit / total) * sum(total))) AS rate FROM f{n})")
-        rate = f"(SELECT coalesce(min(rate), {RATE}) FROM r)"
-    parts.append(f"p AS (SELECT m_source, m_lang, m_topic, least(1.0, {rate} * fit * sum(total) OVER () / total) AS p FROM f{n})")
+    sums = " UNION ALL ".join(f"SELECT level, sum(fit) AS w, any_value(t_{dim}) AS t FROM f{n} GROUP BY level, m_{dim}" for dim in ("source", "lang", "topic"))
+    parts.append(f"o AS (SELECT level, max(abs(w / s - t)) AS off FROM ({sums}) JOIN (SELECT level, sum(fit) AS s FROM f{n} GROUP BY level) USING (level) GROUP BY level)")
+    parts.append(f"v AS MATERIALIZED (SELECT coalesce(min(level) FILTER (off < {mixing.TOLERANCE}), {levels - 1}) AS level FROM o)")
+    parts.append("e AS MATERIALIZED (SELECT rate FROM r JOIN v USING (level))")
+    parts.append(f"p AS (SELECT m_source, m_lang, m_topic, fit / total AS p FROM f{n} JOIN v USING (level))")
     return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, m_words::BIGINT AS m_words, m_topic, round(coalesce(p, {rate}), 9) AS m_p,
-  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 < coalesce(p, {rate}) AS m_kept
-FROM b LEFT JOIN p USING (m_source, m_lang, m_topic)"""
+SELECT doc_id, m_words::BIGINT AS m_words, m_topic, round(coalesce(p, rate, {RATE}), 9) AS m_p,
+  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 < coalesce(p, rate, {RATE}) AS m_kept
+FROM b LEFT JOIN p USING (m_source, m_lang, m_topic), e"""
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +144,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_ngram_join, op3_substring_dedup, op4_media, op5_topk_search, op6_sentencepiece, op7_sharding, op8_pii, op9_quality, op10_mixing, op10_mixing_reached, pipeline)
+    own = (op1_toxicity, op2_ngram_join, op3_substring_dedup, op4_media, op5_topk_search, op6_sentencepiece, op7_sharding, op8_pii, op9_quality, op10_mixing, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_topk_search": OP5_SQL, "op10_mixing": mixing_sql(), "op10_mixing_reached": mixing_sql(reach=True)}
+    return {"op2_ngram_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_topk_search": OP5_SQL, "op10_mixing": mixing_sql()}
