@@ -180,6 +180,8 @@ def codec(model: bytes) -> Codec:
 
 def _encode(batches: Iterator[pa.RecordBatch], model: bytes, ids: bool) -> Iterator[pa.RecordBatch]:
     c = codec(model)
+    is_byte = np.zeros(len(c.pieces), bool)
+    is_byte[list(c.bytes.values())] = True
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
         size, begin = 0, 0
@@ -202,8 +204,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model: bytes, ids: bool) -> Itera
                 coded = c.encode_bytes(text)
                 numbers = np.frombuffer(coded, "<i4")
                 back = c.decode(numbers)
-                byte = int(np.isin(numbers, list(c.bytes.values())).sum()) if c.bytes else 0
-                row = [len(numbers), byte, hashlib.sha256(coded).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, coded if ids else b""]
+                row = [len(numbers), int(is_byte[numbers].sum()), hashlib.sha256(coded).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text, coded if ids else b""]
                 size += len(coded)
             for column, x in zip(cols, row, strict=True):
                 column.append(x)

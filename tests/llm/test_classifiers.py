@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import quality, toxicity
+from pulsegrid.llm import quality, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -72,8 +75,6 @@ def test_chains_against_plain_code(spark):
     df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(df, labels, toxicity.categories())
     place = {int(f): j for j, f in enumerate(chain.features)}
-    import pyarrow as pa
-
     for row in toxicity.score(df, chain, ["junk", "toxic"]).collect():
         buckets = {int(b) for _, _, found in toxicity._features(pa.array([row.text])) for b in found}
         x = [1.0 if f in buckets else 0.0 for f in place]
@@ -132,3 +133,49 @@ def test_quality_awkward(awkward, nothing, labels):
         got = quality.quality(awkward, l).collect()
         assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
     assert quality.quality(nothing, labels).count() == 0
+
+
+def test_quality_against_plain_code(spark, made, tmp_path):
+    """Word vectors, pooling and the network, word by word, through the query."""
+    docs, labels = made
+    docs = docs.limit(120).union(spark.sql("select 9001L, cast(null as string), 'k' union all select 9002L, '', 'k' union all select cast(null as bigint), 'word1', 'k'"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.queries()["op9_quality"](spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = got.collect()
+    texts = {(r.doc_id): r.text for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    assert sorted(map(str, texts)) == sorted(str(r.doc_id) for r in rows)
+    plus, minus = quality._index()
+    bucket = lambda w: int(quality._bucket(next(quality.words(pa.array([w]), lower=True)).hash)[0])
+    known = {w: bucket(w) for t in texts.values() for w in (t or "").split()}
+    table = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for t in texts.values():
+        line = [known[w] for w in (t or "").split()]
+        for i, b in enumerate(line):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(line):
+                    table[b, plus[line[j]]] += 1
+                    table[b, minus[line[j]]] -= 1
+    table /= np.maximum(np.sqrt((table**2).sum(1, keepdims=True)), 1e-9)
+    assert np.allclose(table, quality.word_vectors(spark.read.parquet(str(tmp_path / "documents.parquet"))), atol=1e-6)
+    net = quality.train(spark.read.parquet(str(tmp_path / "documents.parquet")), labels, table.astype(np.float32))
+    for r in rows:
+        line = [known[w] for w in (texts[r.doc_id] or "").split()]
+        x = table[line].mean(0) if line else np.zeros(quality.WIDTH)
+        h = np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1)
+        p = 1 / (1 + np.exp(-np.clip((h @ net.w2 + net.b2) / net.temperature, -30, 30)))
+        assert abs(r.score - p) < 2e-3 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_toxicity_through_the_query(spark, made, tmp_path):
+    docs, labels = made
+    docs.union(spark.sql("select 9001L, cast(null as string), 'k'")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.queries()["op1_toxicity"](spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "p_junk": "double", "p_toxic": "double", "toxic": "boolean"}
+    rows = got.collect()
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(rows) == 601 and all(r.toxic == (r.p_toxic >= 0.5) for r in rows)
+    assert sum(r.toxic == (truth[r.doc_id] == 1) for r in rows if r.doc_id in truth) >= 0.99 * len(truth)

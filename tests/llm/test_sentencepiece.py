@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
+from pulsegrid.llm import queries
 from pulsegrid.llm import sentencepiece_codec as S
 
 TEXTS = ["Hello world", "  two  spaces ", "naïve café 日本語 😀", "line\nbreak\ttab", "▁mark", "a", " ", "éèê" * 40, "x" * 300, "the quick brown fox"]
@@ -86,3 +88,22 @@ def test_tables(awkward, nothing):
     back = sorted(str((r.doc_id, r.text)) for r in S.decode(got).collect())
     assert back == sorted(str((r.doc_id, r.text)) for r in awkward.collect())
     assert S.encode(nothing).count() == 0 and S.decode(S.encode(nothing)).count() == 0
+
+
+def test_the_query_against_plain_code(spark, codec, tmp_path):
+    texts = [None, "", *(t for t in TEXTS if S.MARK not in t), "x\x00y", "e\u0301"]
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["op6_sentencepiece"](spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_tokens": "bigint", "n_bytes_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "round_trip": "boolean", "ids": "array<int>"}
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        r = rows[i]
+        if t is None:
+            assert r[1:] == (None,) * 6
+            continue
+        marked = S.MARK + t.replace(" ", S.MARK) if t else ""
+        assert abs(value(codec, r.ids, marked) - slow(codec, marked)) < 1e-6 * max(1, abs(slow(codec, marked)))
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+        assert (r.n_tokens, r.n_bytes_tokens) == (len(r.ids), sum(codec.pieces[j][2] == S.BYTE for j in r.ids))
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
