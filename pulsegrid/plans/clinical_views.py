@@ -186,7 +186,7 @@ def arterial(gas: DataFrame, chart: DataFrame) -> DataFrame:
     fio2 = numbered(_valid(chart).where(item.isin(FIO2_FRACTION, FIO2_SET, *FIO2_PLAIN)).groupBy("icustay_id", "charttime").agg(F.max(share).alias("FIO2_CHART")))
     bg = gas.where("PO2 is not null").withColumn("seq", F.unix_micros("charttime"))
     for right, name, hours in ((spo2, "SPO2", 2), (fio2, "FIO2_CHART", 4)):
-        bg = joins.as_of(bg, right, "icustay_id", "charttime", hours * 3600, name, "seq", "seq").withColumnRenamed(f"{name}_as_of", name).drop("matched_ts")
+        bg = joins.as_of(bg, right, "icustay_id", "charttime", hours * 3600, name, "seq").withColumnRenamed(f"{name}_as_of", name).drop("matched_ts")
     total = F.lit(SPECIMEN_CONSTANT) + SPECIMEN_PO2 * F.col("PO2")
     for name, (weight, mean, gone) in SPECIMEN_MODEL.items():
         total = total + F.coalesce(weight * F.col(name), F.lit(weight * mean + gone))

@@ -353,7 +353,7 @@ def integrated_score(spark, sf_dir):
 def asof_tolerance(spark, sf_dir):
     s = signals(spark, sf_dir)
     left = s.where("label = 'purchase'").select("seq", "entity", "ts")
-    return joins.as_of(left, s.where("label = 'view'"), "entity", "ts", 172_800, "value", "seq", "seq").select("seq", "value_as_of")
+    return joins.as_of(left, s.where("label = 'view'"), "entity", "ts", 172_800, "value", "seq", slice_seconds=5 * 86_400).select("seq", "value_as_of")
 
 
 @query("interval_containment", """WITH s AS (SELECT user_id, min(ts) AS s, min(ts) + INTERVAL 5 DAY AS e FROM events WHERE event_type = 'signup' GROUP BY 1)
@@ -366,14 +366,14 @@ def interval_containment(spark, sf_dir):
 
 @query("prev_within_6h", f"""WITH p AS ({POINTS}) SELECT seq, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN lag(value) OVER w END AS prev_value FROM p WINDOW w AS (PARTITION BY entity ORDER BY ts, seq)""")
 def prev_within_6h(spark, sf_dir):
-    return joins.previous_within(signals(spark, sf_dir), "entity", "value", 6).select("seq", "prev_value")
+    return joins.previous_within(signals(spark, sf_dir), "entity", "value", 6, slice_seconds=5 * 86_400).select("seq", "prev_value")
 
 
 @query("sessionize_8h_gap", f"""WITH p AS ({POINTS}), n AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 28800000000 OR lag(label = 'error') OVER w THEN 1 ELSE 0 END AS nw FROM p WINDOW w AS (PARTITION BY entity ORDER BY ts))
   , s AS (SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY ts) AS session FROM n)
   SELECT entity, session::BIGINT AS session, min(ts) AS start, max(ts) AS stop, count(*) AS n, max(CASE WHEN label = 'error' THEN 1 ELSE 0 END) AS has_error FROM s GROUP BY 1, 2 HAVING min(ts) <> max(ts)""")
 def sessionize_8h_gap(spark, sf_dir):
-    s = joins.sessions(signals(spark, sf_dir), "entity", 8 * 3600, breaks=F.col("label") == "error")
+    s = joins.sessions(signals(spark, sf_dir), "entity", 8 * 3600, breaks=F.col("label") == "error", slice_seconds=5 * 86_400)
     out = s.groupBy("entity", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("stop"), F.count("*").alias("n"), F.max(F.when(F.col("label") == "error", 1).otherwise(0)).alias("has_error"))
     return out.where("start <> stop")
 

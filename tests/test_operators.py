@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid import catalog
-from pulsegrid.operators import aggregates, features, filters, grids, interpolate, ml, normalize, windows
+from pulsegrid.operators import aggregates, features, filters, grids, interpolate, joins, ml, normalize, windows
 from pulsegrid.plans import clinical_views, pipeline, series, severity
 from pulsegrid.sources import files, generated, messages
 
@@ -384,3 +384,17 @@ def test_read_of_a_database_is_lazy_in_its_options(spark):
 
     with pytest.raises(Exception, match="(?i)suitable driver|ClassNotFound"):
         files.read_jdbc(spark, "jdbc:none://x", "t", fetchsize="10")
+
+
+def test_slices_change_nothing(spark):
+    """As-of, the row before and sessions: long keys dealt to slices of time give what one run gives."""
+    r = np.random.default_rng(6)
+    p = points(spark, [(str(k) if k else None, int(t), float(v), i) for i, (k, t, v) in enumerate(zip(r.integers(0, 3, 300), r.choice(40_000, 300, replace=False), r.normal(0, 1, 300)))]).withColumn("bad", F.col("value") > 1.5)
+    left, right = p.where("seq % 2 = 0"), p.where("seq % 2 = 1")
+    for f in (
+        lambda s: joins.as_of(left, right, "label", "ts", 900, "value", "seq", slice_seconds=s),
+        lambda s: joins.previous_within(p, "label", "value", 1, slice_seconds=s),
+        lambda s: joins.sessions(p, "label", 200, breaks=F.col("bad"), slice_seconds=s),
+    ):
+        one = sorted(map(str, f(None).collect()))
+        assert len(one) in (150, 300) and all(sorted(map(str, f(s).collect())) == one for s in (100, 5000))
