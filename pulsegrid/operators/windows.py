@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,27 @@ def count_trigger(points: DataFrame, size: str, n: int, keys: tuple[str, ...] =
 
 
 def trailing(points: DataFrame, span_seconds: int, keys: tuple[str, ...] = ("label",)) -> DataFrame:
-    """Mean, sample deviation, minimum and maximum of each point's last span, (t - span, t].
+    """Mean, sample deviation, minimum and maximum of each point's last span, (t - span, t]; without a time, of all such.
 
     Time is cut into slices as long as the span; a point goes to its own slice and, to be looked back on, to the next
-    one. So a key of any length is dealt to many tasks, for twice the rows.
+    one. So a key of any length is dealt to many tasks, for twice the rows. A frame is the start of its own slice and
+    the end of the one before: both run on from row to row, so the work doesn't grow with the rows of a frame. Sums and
+    squares are put together, never taken away, so no digits cancel and what is not finite stays in its frames.
     """
     us, span = F.unix_micros("ts"), span_seconds * 1_000_000
-    p = points.select(*keys, "seq", "ts", "value", us.alias("__us"), F.floor(us / span).alias("__own"))
-    p = p.withColumn("__slice", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    over = Window.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-(span - 1), 0)
-    v: Column = F.col("value")
-    stats = {"mean_v": F.avg(v).over(over), "std_v": F.stddev_samp(v).over(over), "min_v": F.min(v).over(over), "max_v": F.max(v).over(over)}
-    return p.withColumns(stats).where("__slice = __own").select(*keys, "seq", "ts", *stats)
+    p = points.select(*keys, "seq", "ts", "value", us.alias("__us"), F.explode(F.array(F.lit(0), F.lit(1))).alias("__back"))
+    p = p.where("__back = 0 or __us is not null").withColumns({"__slice": F.floor(F.col("__us") / span) + F.col("__back"), "__at": F.col("__us") + F.col("__back") * span})
+    by = Window.partitionBy(*keys, "__slice")
+    start = by.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    end = by.orderBy(F.desc("__at"), "__back").rowsBetween(Window.unboundedPreceding, 0)  # points at t - span come after t
+    sides = {}
+    for side, over in enumerate((start, end)):
+        v = F.when(F.col("__back") == side, F.col("value"))
+        sides |= {f"__{name}{side}": f(v).over(over) for name, f in (("n", F.count), ("s", F.sum), ("d", F.var_pop), ("a", F.min), ("b", F.max))}
+    n0, n1, n = F.col("__n0"), F.col("__n1"), F.col("__n0") + F.col("__n1")
+    none = F.lit(0.0)
+    mean = F.try_divide(F.coalesce("__s0", none) + F.coalesce("__s1", none), n)
+    apart = F.try_divide("__s1", n1) - F.try_divide("__s0", n0)  # null where a side has no values
+    squares = F.coalesce(F.col("__d0") * n0, none) + F.coalesce(F.col("__d1") * n1, none) + F.coalesce(apart * apart * F.try_divide(n0 * n1, n), none)
+    stats = {"mean_v": mean, "std_v": F.when(n > 1, F.sqrt(F.try_divide(squares, n - 1))), "min_v": F.least("__a0", "__a1"), "max_v": F.greatest("__b0", "__b1")}
+    return p.withColumns(sides).where("__back = 0").select(*keys, "seq", "ts", *(c.alias(name) for name, c in stats.items()))

@@ -398,3 +398,29 @@ def test_slices_change_nothing(spark):
     ):
         one = sorted(map(str, f(None).collect()))
         assert len(one) in (150, 300) and all(sorted(map(str, f(s).collect())) == one for s in (100, 5000))
+
+
+def test_trailing_frames_run_on_and_keep_every_row(spark):
+    """Against the plain definition; no window frame is gathered anew for each row, which at size never ends."""
+    r = np.random.default_rng(7)
+    rows = [(k, int(t), v, i) for i, (k, t, v) in enumerate(zip(r.choice(["a", "b"], 300), r.integers(-300, 900, 300), r.normal(5, 3, 300).round(2).tolist(), strict=True))]
+    rows += [("c", t, v, 1000 + i) for i, (t, v) in enumerate([(0, 1.0), (59, None), (60, 3.0), (60, 3.0), (61, math.inf), (120, 0.5), (121, 0.25), (122, math.nan), (200, 1e9), (200, 1e9 + 1), (500, None)])]
+    rows += [(None, 10, 2.0, 2000), (None, 20, 4.0, 2001)]
+    p = points(spark, rows)
+    timeless = spark.createDataFrame([("a", None, 2.0, 3000), ("a", None, 4.0, 3001)], p.schema)
+    out = windows.trailing(p.unionByName(timeless), 60)
+    got = {x.seq: x for x in out.collect()}
+    assert len(got) == len(rows) + 2
+    rows += [("a", None, 2.0, 3000), ("a", None, 4.0, 3001)]
+    same = lambda x, y: x is y or (None not in (x, y) and (x == y or math.isnan(x) and math.isnan(y) or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)))
+    for k, t, _, i in rows:
+        v = [x for a, u, x, _ in rows if a == k and x is not None and (u is None if t is None else u is not None and t - 60 < u <= t)]
+        want = [sum(v) / len(v) if v else None, None, None, None]
+        if v:
+            numbers = [x for x in v if not math.isnan(x)]
+            want[2:] = min(numbers, default=math.nan), max(numbers) if len(numbers) == len(v) else math.nan
+            if len(v) > 1:
+                want[1] = float(np.std(v, ddof=1)) if all(map(math.isfinite, v)) else math.nan
+        assert all(map(same, (got[i].mean_v, got[i].std_v, got[i].min_v, got[i].max_v), want)), (k, t, i, got[i], want)
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "windowframe" in plan and plan.count("windowframe") == plan.count("unboundedpreceding")
