@@ -29,7 +29,7 @@ null). Other columns are ignored, whatever their names. An empty table gives no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,12 @@ MEET = 4096
 #: A size class spans this many steps of 1 / threshold.
 STEPS = 2
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lead", pa.int64()), ("sigs", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32()))])
+#: Signatures meet in so many passes, each over its own ones: a power of 2.
+PASSES = 4
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lead", pa.int64())])
+_SIGNED = pa.schema([*_SETS, *(x for g in range(PASSES) for x in ((f"sigs{g}", pa.list_(pa.int64())), (f"tags{g}", pa.list_(pa.int32()))))])
+_SQL = {pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
 
 
 def size_classes(largest: int, num: int, den: int) -> np.ndarray:
@@ -140,11 +145,13 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, lower
             mine = new[row]
             again = np.where(new, n, 0)
             r, s, tag = signatures(row[mine], value[mine], again, num, den)
-            order = np.argsort(r, kind="stable")
-            each = np.bincount(r, minlength=len(n))
-            at = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, longs(s[order])), pa.ListArray.from_arrays(at, pa.array(tag[order].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), pa.array(lead, pa.int64(), mask=~given), *lists], schema=_SETS)
+            lists, turn = [], s & U(PASSES - 1)
+            for g in range(PASSES):
+                mine = np.flatnonzero(turn == U(g))
+                mine = mine[np.argsort(r[mine], kind="stable")]
+                at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(r[mine], minlength=len(n)))]), pa.int32())
+                lists += [pa.ListArray.from_arrays(at, longs(s[mine])), pa.ListArray.from_arrays(at, pa.array(tag[mine].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([ids[w.rows].cast(pa.int64()), pa.array(n.astype(np.int64)), longs(k1), longs(k2), pa.array(lead, pa.int64(), mask=~given), *lists], schema=_SIGNED)
 
 
 _PAIRS = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
@@ -323,7 +330,8 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     not all there are, as those that only join what is joined already aren't sought).
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = table(batched(docs, partial(_digest, k=n, num=num, den=den, lower=lower), "doc_id long, n long, k1 long, k2 long, lead long, sigs array<long>, tags array<int>"), "sets")
+    signed = table(batched(docs, partial(_digest, k=n, num=num, den=den, lower=lower), ", ".join(f"{x.name} {_SQL[x.type]}" for x in _SIGNED)), "signed")
+    sets = table(signed.select(*_SETS.names), "sets")
     named = sets.where("n > 0 and doc_id is not null")
     # Copies hang on the first one of their task; only these meet, so no task gathers all copies of a text.
     leads = named.where("doc_id = lead").select("doc_id", "k1", "k2", "n").distinct()
@@ -331,17 +339,22 @@ def ngram_join(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, lowe
     same = leads.join(reps, ["k1", "k2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     same = same.union(named.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))).where("a <> b").distinct()
 
-    lists = named.where(F.size("sigs") > 0).select(F.explode(F.arrays_zip("sigs", "tags")).alias("s"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
-    lists = lists.select(F.col("s.sigs").alias("sig"), "node", "n", F.col("s.tags").alias("tag"))
-    shape = "sig long, node long, n int, tag int, others long"
-    buckets = table(batched(lists.repartition("sig").sortWithinPartitions("sig", "node"), _buckets, shape), "buckets")
+    # The signatures are the most there is on disk: they move a pass at a time, and go when all have met.
+    shape, passes = "sig long, node long, n int, tag int, others long", []
+    for g in range(PASSES):
+        lists = signed.where(f"n > 0 and doc_id is not null and size(sigs{g}) > 0")
+        lists = lists.select(F.explode(F.arrays_zip(F.col(f"sigs{g}").alias("sig"), F.col(f"tags{g}").alias("tag"))).alias("s"), F.col("n").cast("int"), F.col("doc_id").alias("node"))
+        lists = lists.select("s.sig", "node", "n", "s.tag").repartition("sig").sortWithinPartitions("sig", "node")
+        passes.append(table(batched(lists, _buckets, shape), "buckets"))
+    free(signed)
+    buckets = reduce(DataFrame.unionAll, passes)
     # Of a node's signatures by one cut, as many of the commonest as it can spare don't count.
     common = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("others"), "sig"))
     met = F.sum("others").over(Window.partitionBy("node"))
     kept = buckets.withColumn("rank", common).where(F.col("rank") > F.floor(F.col("tag") / 2)).withColumn("meets", met)
     ranked = kept.select("sig", "node", "n", "meets").repartition("sig").sortWithinPartitions("sig", F.desc("meets"), "n", "node")
     stars = table(batched(ranked.select("sig", "node"), _stars, "hub long, node long").distinct(), "stars")
-    free(buckets)
+    free(*passes)
     held = table(compared(docs, stars, n, num, den, lower, True), "compared")
     edge = lambda x: x.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = held.where("near").select("hub", "node")

@@ -38,15 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Shuffle files go when their query ends. Otherwise they stay until the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin here leave no shuffle files."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it.
 
-    The lineage ends there: a lost executor costs no upstream work, and later readers prune columns. The tables go
-    when staged() is done with them, or when the driver's Python ends.
+    The lineage ends there: a lost executor costs no upstream work, later readers prune columns, and the shuffle files
+    of the way there go at once. The tables go when staged() is done with them, or when the driver's Python ends.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    with _cleaned(spark):
+        df.write.parquet(f"{folder}/{name}")
     if not _written:
         atexit.register(_drop, _written)
     _written.append((spark, folder))
@@ -142,7 +161,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", "m"))
         now, before = table(small.where("u <> v").distinct(), "edges"), now
         free(before, low, large, lower)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with _cleaned(now.sparkSession):
+            seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last:
             break
         last = seen

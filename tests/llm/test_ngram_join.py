@@ -1,11 +1,13 @@
 import random
 import re
+import time
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import ngram_join as J
+from pulsegrid.llm import shared
 from pulsegrid.llm.ngram_join import dedupe, ngram_join
 
 
@@ -121,3 +123,29 @@ def test_links_are_named_as_those_found(spark):
     got = ngram_join(docs, n=3, num=9, den=10)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links_found"]
     assert all(r.component_id == 0 and 1 <= r.n_links_found <= 2 for r in got.collect())
+
+
+def test_what_is_done_with_leaves_the_disk(spark, tmp_path):
+    """Shuffle files go with their query, signatures when they have met; a signature shuffle has a part of them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+    tables = lambda: {path for _, path in shared._written}
+    before, held, seen = files(), tables(), []
+
+    def noted(df, name):
+        out = shared.table(df, name)
+        until = time.time() + 20
+        while (left := {x for x in files() - before if x.startswith("shuffle_")}) and time.time() < until:
+            time.sleep(0.2)
+        seen.append((name, len(left), out))
+        return out
+
+    rows = corpus(1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(J, "table", noted)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=9, den=10).collect()}
+    assert got == brute(rows, 3, 9, 10)
+    assert not [x for x in seen if x[1]]
+    assert len([x for x in seen if x[0] == "buckets"]) == J.PASSES > 1
+    left = [spark.read.option("recursiveFileLookup", "true").parquet(path) for path in tables() - held]
+    assert left and not [c for df in left for c, kind in df.dtypes if "sig" in c or kind == "array<int>"]
