@@ -128,13 +128,13 @@ def test_links_are_named_as_those_found(spark):
 def test_what_is_done_with_leaves_the_disk(spark, tmp_path):
     """Shuffle files go with their query, signatures when they have met; a signature shuffle has a part of them."""
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    files = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+    files = lambda: {x.rsplit("/", 1)[-1] for x in disk.getAllFiles().mkString("\n").split("\n")}
     tables = lambda: {path for _, path in shared._written}
     before, held, seen = files(), tables(), []
 
     def noted(df, name):
         out = shared.table(df, name)
-        until = time.time() + 20
+        until = time.time() + 5
         while (left := {x for x in files() - before if x.startswith("shuffle_")}) and time.time() < until:
             time.sleep(0.2)
         seen.append((name, len(left), out))
